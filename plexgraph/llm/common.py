@@ -53,7 +53,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Partitions of at most about ``bytes_each`` on storage, and no fewer than the session asks for."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // bytes_each), 1 << 20))
 
 
