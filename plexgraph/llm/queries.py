@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, toxicity
+from . import decontaminate, lyndon, simhash, suffix_tree, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_substrings": suffix_tree.op4_substrings,
+    "op5_suffix_array": lyndon.op5_suffix_array,
+    "op6_simhash": simhash.op6_simhash,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
+    "op4_substrings": suffix_tree.SQL,
 }
