@@ -32,9 +32,18 @@ LETTERS, SOLID, LOWER = _LETTERS, _SOLID, _LOWER
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named Parquet table of a data folder."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+    """Arrow batches of at most ``most`` bytes, so that long rows don't fill a Python worker; a smaller limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key, "-1"))
+    if not 0 < now <= most:
+        spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where none is named."""
     sc = spark.sparkContext

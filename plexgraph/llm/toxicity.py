@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, LOWER, checkpointed, span_hashes, spans, table, text_chunks
+from .common import LETTERS, LOWER, checkpointed, ranges, span_hashes, spans, table, text_chunks
 
-MAX_EXAMPLES, VOCABULARY, MIN_DOCS, MIN_CHI2, NEIGHBOURS, SHRINK, BLOCK = 6000, 1024, 6, 15.0, 15, 0.5, 64
+MAX_EXAMPLES, VOCABULARY, MIN_DOCS, MIN_CHI2, NEIGHBOURS, SHRINK, BLOCK = 6000, 1024, 6, 30.0, 15, 0.5, 64
 _PREFIXES = (4, 5, 6)
 
 
@@ -116,17 +116,22 @@ class BlockMaxIndex:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine (ties: the earlier example) and their cosines; exact."""
         bound = weights @ self.top[terms]
-        best_d, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                lo, hi = self.ptr[t * self.blocks + b], self.ptr[t * self.blocks + b + 1]
-                if hi > lo:
-                    score[self.doc[lo:hi] - b * BLOCK] += w * self.weight[lo:hi]
-            at = np.flatnonzero(score > 0)
-            best_d, best_s = np.r_[best_d, at + b * BLOCK], np.r_[best_s, score[at]]
+        turn = np.argsort(-bound, kind="stable")
+        turn = turn[: int((bound > 0).sum())]
+        best_d, best_s, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while at < len(turn) and (len(best_s) < k or bound[turn[at]] >= best_s[-1] - 1e-12):
+            some = turn[at : at + step]
+            if len(best_s) == k:
+                some = some[bound[some] >= best_s[-1] - 1e-12]
+            at, step = at + step, step * 8
+            cell = (terms[:, None].astype(np.int64) * self.blocks + some).ravel()
+            n = self.ptr[cell + 1] - self.ptr[cell]
+            post = ranges(self.ptr[cell], n)
+            slot = np.repeat(np.tile(np.arange(len(some)), len(terms)), n)
+            place = slot * BLOCK + self.doc[post] % BLOCK
+            score = np.bincount(place, np.repeat(np.repeat(weights, len(some)), n) * self.weight[post], len(some) * BLOCK)
+            hit = np.flatnonzero(score > 0)
+            best_d, best_s = np.r_[best_d, some[hit // BLOCK] * BLOCK + hit % BLOCK], np.r_[best_s, score[hit]]
             order = np.lexsort((best_d, -best_s))[:k]
             best_d, best_s = best_d[order], best_s[order]
         return best_d, best_s
