@@ -39,8 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
     """Arrow batches of at most ``most`` bytes, so that long rows don't fill a Python worker; a smaller limit stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key, "-1"))
-    if not 0 < now <= most:
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > most:
         spark.conf.set(key, str(most))
 
 

@@ -95,8 +95,8 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column |
     rows = rows.groupBy("doc_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")  # at most max_examples narrow rows
     got = sample.mapInArrow(_encode, "doc_id long, domain string, index binary, value binary").collect()  # at most max_examples rows
-    got.sort(key=lambda r: (r.doc_id, bytes(r.index)))
-    return DomainClassifier([(np.frombuffer(r.index, np.int32), np.frombuffer(r.value), domains.index(r.domain)) for r in got], len(domains))
+    got.sort(key=lambda r: (r.doc_id, bytes(r["index"])))
+    return DomainClassifier([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"]), domains.index(r.domain)) for r in got], len(domains))
 
 
 def memberships(docs: DataFrame, classifier: DomainClassifier, keep: list[str]) -> DataFrame:
