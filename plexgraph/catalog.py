@@ -20,3 +20,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+from .plans import graph_queries, history_queries, text_queries  # noqa: E402, F401
