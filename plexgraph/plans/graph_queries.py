@@ -13,10 +13,10 @@ N, E, S = p.SQL_NODES, p.SQL_EDGES, p.SQL_STEPS
 R = "SELECT * FROM edges WHERE status = 'resolved'"
 
 
-@query("p01_resolve", f"WITH {N} SELECT id, name, type, file, CAST(6 AS INT) AS tier FROM nodes WHERE lower(id) LIKE '%automob%' OR lower(name) LIKE '%automob%' OR lower(file) LIKE '%automob%' OR lower(name) LIKE '%europe%' AND false")
+@query("p01_resolve", f"WITH {N} SELECT id, name, type, file, CAST(6 AS INT) AS tier FROM nodes WHERE lower(id) LIKE '%asia%' OR lower(name) LIKE '%asia%' OR lower(file) LIKE '%asia%'")
 def p01(spark, d):
     """Substring tier of name resolution."""
-    return g.resolve(p.nodes(spark, d), "automob").select("id", "name", "type", "file", "tier")
+    return g.resolve(p.nodes(spark, d), "asia").select("id", "name", "type", "file", "tier")
 
 
 @query("p01_resolve_file", f"WITH {N} SELECT id, name, CAST(4 AS INT) AS tier FROM nodes WHERE file = 'nation/3'")
