@@ -111,7 +111,7 @@ class BlockMaxIndex:
         self.top = self.top.reshape(terms, self.blocks)
         bare = np.array([len(t) == 0 for t, _ in vectors], bool) if n else np.zeros(0, bool)
         self.base = float(self.y.mean()) if n else 0.0
-        self.bare = (float(self.y[bare].sum()) + self.base) / (int(bare.sum()) + 1) if n else 0.0
+        self.bare = (float(self.y[bare].sum()) + 10 * self.base) / (int(bare.sum()) + 10) if n else 0.0
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine (ties: the earlier example) and their cosines; exact."""
