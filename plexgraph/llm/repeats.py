@@ -69,9 +69,12 @@ class Part:
             a, b = np.searchsorted(self.at, (lo, hi))
             if a == b:
                 continue
-            g = self.symbols[lo : hi + length - 1].astype(np.uint64)
-            g = mix(g + np.uint64(1))
-            have, done = g, 1
+            have, done = self.symbols[lo : hi + length - 1].astype(np.uint64), 1
+            if self.unit.words:
+                have = mix(have + np.uint64(1))
+            else:  # eight bytes fit a word as they are
+                while done < 8:
+                    have, done = have[:-done] << np.uint64(8 * done) | have[done:], 2 * done
             while done < gram:
                 step = min(done, gram - done)
                 have = mix(have[:-step] * np.uint64(0x9E3779B97F4A7C15) + have[step:])
@@ -193,8 +196,9 @@ def _send_runs(unit: Unit, buckets: int):
         group = np.where(hot, mix(sig) >> np.uint64(24), key)
 
         def pack(k):
-            cols = ((key, 5), (sig, 8), (low.astype(np.uint64), 8), (high.astype(np.uint64), 8), (hot, 1), (windows, 1), (left, 1), (size, 4))
-            return len(k), b"".join([*(planes(x[k].astype(np.uint64), w) for x, w in cols), *(text[i] for i in k)])
+            cols = ((key, 5), (sig, 8), (low, 8), (high - low, 8), (hot, 1), (windows, 1), (left, 1), (size, 4))
+            packed = pa.compress(b"".join([text[i] for i in k]), codec="zstd", asbytes=True)
+            return len(k), b"".join([*(planes(x[k].astype(np.uint64), w) for x, w in cols), packed])
 
         return _rows((group % np.uint64(buckets)).astype(np.int64), int(docs.column("p")[0].as_py()), pack)
 
@@ -221,11 +225,11 @@ def _answer_runs(solve: Callable[[Runs], np.ndarray]):
             for c, w in zip(cols, (5, 8, 8, 8, 1, 1, 1, 4)):
                 c.append(from_planes(view[at:], n, w))
                 at += n * w
-            texts.append(np.frombuffer(view[at:], np.uint8))
+            texts.append(np.frombuffer(pa.decompress(view[at:], int(cols[-1][-1].sum()), codec="zstd"), np.uint8))
             senders.append(sender)
             sizes.append(n)
         key, sig, low, high, hot, windows, left, size = (np.concatenate(c) for c in cols)
-        low, high, windows, left, size, hot = low.astype(np.int64), high.astype(np.int64), windows.astype(np.int64), left.astype(np.int64), size.astype(np.int64), hot > 0
+        low, high, windows, left, size, hot = low.astype(np.int64), (low + high).astype(np.int64), windows.astype(np.int64), left.astype(np.int64), size.astype(np.int64), hot > 0
         del cols
         _, first, cls = np.unique(sig, return_index=True, return_inverse=True)
         least = np.full(len(first), _LAST)
