@@ -60,10 +60,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """Partitions of at most about ``bytes_each`` on storage, and no fewer than the session asks for."""
+    """Partitions of at most about ``bytes_each`` on storage, and no fewer than the session asks for.
+
+    A plan without a known size (not from files) has Spark's default of exabytes; the session decides there.
+    """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // bytes_each), 1 << 20))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // bytes_each)) if size < 1 << 60 else least
 
 
 def mix(x: np.ndarray) -> np.ndarray:
