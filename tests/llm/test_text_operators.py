@@ -113,8 +113,8 @@ def test_suffix_arrays_match_sorting(strings):
 @pytest.mark.parametrize("members", [1, 12])
 def test_both_ways_to_solve_a_group_agree(members, monkeypatch):
     rng = random.Random(3)
-    core = bytes(rng.choice(b"ab") for _ in range(120))
-    texts = [core[a : a + rng.randrange(50, 84)] for a in (rng.randrange(0, 30) for _ in range(60))]
+    cores = [bytes(rng.choice(b"ab") for _ in range(120)) for _ in range(7)]  # a window stands in one group only
+    texts = [cores[i // 9][a : a + rng.randrange(50, 84)] for i, a in enumerate(rng.randrange(0, 30) for _ in range(60))]
     windows = np.array([len(t) - 49 for t in texts])
     low = np.arange(60) * 7 % 61
     runs = repeats.Runs(np.arange(60, dtype=np.uint64) // np.uint64(9), windows, np.zeros(60, np.int64), np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])], low)
