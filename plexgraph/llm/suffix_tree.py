@@ -85,7 +85,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     odd = {"n_symbols", "n_removed", "n_spans", "kept", "p"} & set(docs.columns)
     names = {c: f"__{c}" if c in odd else c for c in docs.columns}
     found = deduplicate(docs.withColumnsRenamed({a: b for a, b in names.items() if a != b}), list(names.values()))
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", F.lit("UTF-8"))).otherwise(F.col("text"))
+    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
     size = F.when(F.col("n_removed") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in names else None
     made = {"text": text} | ({"n_chars": size} if size is not None else {})
     return found.select(*[made.get(c, F.col(f"`{names[c]}`")).alias(c) for c in docs.columns])
