@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import LETTERS, LOWER, checkpointed, span_hashes, spans, table, text_chunks
 
-MAX_EXAMPLES, BUCKETS, ROUNDS, STEPS, CLOSE = 4000, 1 << 14, 150, 60, 1e-7
+MAX_EXAMPLES, BUCKETS, ROUNDS, STEPS, CLOSE, STALL = 4000, 1 << 14, 150, 60, 1e-7, 1e-4
 TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
 PIPELINE_TARGETS = {"high": 0.92, "low": 0.08, "toxic": 0.0}
 
@@ -155,7 +155,7 @@ def solve(members: DataFrame, targets: list[float], steps: int = STEPS) -> tuple
     if not total:
         return [], 0.0
     step = 1 / max(1e-12, np.linalg.eigvalsh(gram.reshape(k, k) / total).max())
-    goal, history, t, last, look = np.array(targets), [], 1.0, np.inf, 0.0
+    goal, history, t, last, look, still = np.array(targets), [], 1.0, np.inf, 0.0, 0
     for _ in range(steps):
         got, _ = sums(history, step, look, False)
         residual = got / total - goal
@@ -166,6 +166,9 @@ def solve(members: DataFrame, targets: list[float], steps: int = STEPS) -> tuple
             t, look = 1.0, 0.0
             last = np.inf
             continue
+        still = still + 1 if last - size <= STALL * size else 0
+        if still == 3:  # the targets are out of reach and this is as near as they get
+            break
         history, last = [*history, (residual, look)], size
         ahead = (1 + (1 + 4 * t * t) ** 0.5) / 2
         t, look = ahead, (t - 1) / ahead
