@@ -101,4 +101,4 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{local_path(shared_dir(spark))}/tokens-{uuid.uuid4().hex}"
     written = checkpointed(write_tokens(table(spark, sf_dir, "documents"), folder))
     counts = count_tokens(written.where("ordinal = -1").select("file", "bytes"))
-    return written.where("ordinal >= 0").join(counts, ["file", "ordinal"], "left").select("doc_id", "n_tokens")
+    return written.where("ordinal >= 0").join(counts.hint("merge"), ["file", "ordinal"], "left").select("doc_id", "n_tokens")
