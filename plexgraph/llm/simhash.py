@@ -51,18 +51,18 @@ def sub_masks(mask: int) -> list[int]:
     return [sum(1 << i for i in rest[a:b]) for a, b in zip(cut, cut[1:])]
 
 
-def shingle_hashes(text: bytes) -> list[int]:
-    """XXH64 of each run of three words of the lower-cased text; of the whole if it has fewer."""
+def shingle_hashes(text: bytes, run: int = WORDS) -> list[int]:
+    """XXH64 of each run of three (``run``) words of the lower-cased text; of the whole if it has fewer."""
     words = text.lower().split()
     if not words:
         return []
-    if len(words) < WORDS:
+    if len(words) < run:
         return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     line = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(size)
-    start = (ends - size)[: len(words) - WORDS + 1].tolist()
-    end = (ends - 1)[WORDS - 1 :].tolist()
+    start = (ends - size)[: len(words) - run + 1].tolist()
+    end = (ends - 1)[run - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     return [digest(line[a:b], SEED) for a, b in zip(start, end)]
 
@@ -208,6 +208,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each component."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component of near copies: pairs of a 5-word Jaccard similarity of 0.8 or more link, all of them.
+
+    The three bits of :func:`near_duplicates` bind ``op6_simhash`` alone. The smallest doc_id stays, null ids come last,
+    and rows that share an id are decided on one by one.
+    """
+    from .near_copies import one_of_each
+
+    return one_of_each(docs)
