@@ -1,13 +1,14 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists, distance-weighted votes.
 
 * Features are lower-cased words and their first 4, 5 and 6 bytes, so that inflected forms share evidence. The
-  vocabulary is what a chi-square test ties most strongly to the label on the training rows.
+  vocabulary is every feature that two examples share; one of a single example would only hand on its label. A feature's weight is its IDF times FLOOR plus the size of its phi
+  coefficient with the label, which doesn't depend on the number of examples; none weighs nothing.
 * The examples are a sample of at most ``max_examples`` labelled rows (the smallest hashes of doc_id), so the index
   that every executor gets has a fixed bound. Everything else covers all rows and whole texts.
-* Search is exact: blocks of postings are visited by falling upper bound and the search ends only when no block
-  left can beat the k-th neighbour.
+* Search is exact: terms are taken by falling weight until what the rest can add leaves few examples that can beat the
+  k-th neighbour; the rest is added only in blocks of postings whose upper bound still reaches it.
 * A score is the cosine-weighted share of toxic neighbours, shrunk towards the base rate; a text without any
-  vocabulary feature gets the toxic rate of such examples.
+  feature in common with any example gets the toxic rate of examples without features.
 
 Defined results: null and empty texts count as texts without features; without labelled rows every score is 0;
 rows with a null label are no examples; a doc_id labelled twice counts as toxic if any label says so; repeated
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import LETTERS, LOWER, checkpointed, ranges, span_hashes, spans, table, text_chunks
 
-MAX_EXAMPLES, VOCABULARY, MIN_DOCS, MIN_CHI2, NEIGHBOURS, SHRINK, BLOCK = 6000, 1024, 6, 30.0, 15, 0.5, 64
+MAX_EXAMPLES, FLOOR, NEIGHBOURS, SHRINK, BLOCK, FIRST = 6000, 0.02, 15, 0.5, 64, 1 << 16
 _PREFIXES = (4, 5, 6)
 
 
@@ -85,7 +86,7 @@ def _encode(vocab, idf):
                 ptr, term, w = _vectors(buf, off, vocab, idf)
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("toxic").cast(pa.int32()), pa.array([term[a:b].astype(np.int32).tobytes() for a, b in zip(ptr, ptr[1:])], pa.binary()), pa.array([w[a:b].tobytes() for a, b in zip(ptr, ptr[1:])], pa.binary())],
+                    [part.column("doc_id"), part.column("toxic").cast(pa.int32()), pa.array([term[a:b].astype(np.int32).tobytes() for a, b in zip(ptr, ptr[1:])], pa.binary()), pa.array([w[a:b].astype(np.float32).tobytes() for a, b in zip(ptr, ptr[1:])], pa.binary())],
                     ["doc_id", "toxic", "terms", "weights"],
                 )
 
@@ -101,40 +102,64 @@ class BlockMaxIndex:
         self.blocks = max(1, -(-n // BLOCK))
         term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int32)
         weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
-        doc = np.repeat(np.arange(n), [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
-        order = np.lexsort((doc, term))
-        term, self.doc, self.weight = term[order], doc[order], weight[order]
-        cell = term.astype(np.int64) * self.blocks + self.doc // BLOCK
-        self.ptr = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
-        self.top = np.zeros(terms * self.blocks)
-        np.maximum.at(self.top, cell, self.weight)
-        self.top = self.top.reshape(terms, self.blocks)
+        doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
+        order = np.argsort(term, kind="stable")  # docs already ascend
+        term, doc, weight = term[order].astype(np.int64), doc[order], weight[order]
+        self.doc, self.weight = doc.astype(np.int32), weight.astype(np.float32)
+        cell = term * self.blocks + doc // BLOCK
+        at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if n and len(cell) else np.zeros(0, np.int64)
+        # a cell is a term's postings in a block; only cells with postings are kept
+        self.cells = np.searchsorted(term[at], np.arange(terms + 1)).astype(np.int32)
+        self.block, self.ptr = (doc[at] // BLOCK).astype(np.int32), np.r_[at, len(cell)].astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0, np.float32)
+        self.norm = max([float(np.sqrt(w @ w)) for _, w in vectors], default=0.0) * (1 + 1e-5)
         bare = np.array([len(t) == 0 for t, _ in vectors], bool) if n else np.zeros(0, bool)
         self.base = float(self.y.mean()) if n else 0.0
         self.bare = (float(self.y[bare].sum()) + 10 * self.base) / (int(bare.sum()) + 10) if n else 0.0
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine (ties: the earlier example) and their cosines; exact."""
-        bound = weights @ self.top[terms]
-        turn = np.argsort(-bound, kind="stable")
-        turn = turn[: int((bound > 0).sum())]
-        best_d, best_s, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while at < len(turn) and (len(best_s) < k or bound[turn[at]] >= best_s[-1] - 1e-12):
-            some = turn[at : at + step]
-            if len(best_s) == k:
-                some = some[bound[some] >= best_s[-1] - 1e-12]
-            at, step = at + step, step * 8
-            cell = (terms[:, None].astype(np.int64) * self.blocks + some).ravel()
-            n = self.ptr[cell + 1] - self.ptr[cell]
-            post = ranges(self.ptr[cell], n)
-            slot = np.repeat(np.tile(np.arange(len(some)), len(terms)), n)
-            place = slot * BLOCK + self.doc[post] % BLOCK
-            score = np.bincount(place, np.repeat(np.repeat(weights, len(some)), n) * self.weight[post], len(some) * BLOCK)
-            hit = np.flatnonzero(score > 0)
-            best_d, best_s = np.r_[best_d, some[hit // BLOCK] * BLOCK + hit % BLOCK], np.r_[best_s, score[hit]]
-            order = np.lexsort((best_d, -best_s))[:k]
-            best_d, best_s = best_d[order], best_s[order]
-        return best_d, best_s
+        size = self.ptr[self.cells[terms + 1]] - self.ptr[self.cells[terms]]
+        turn = np.argsort(-weights, kind="stable")
+        terms, weights, size = terms[turn], weights[turn], size[turn]
+        rest = self.norm * np.sqrt(np.r_[np.cumsum((weights * weights)[::-1])[::-1], 0.0]) + 1e-9  # what the terms from each on can add
+        work = np.cumsum(size)
+        score, least, at = np.zeros(self.blocks * BLOCK), 0.0, 0
+        while at < len(terms):
+            end = max(at + 1, int(np.searchsorted(work, max(FIRST, 2 * work[at - 1] if at else 0), "right")))
+            self._add(score, terms[at:end], weights[at:end])
+            at = end
+            if k < len(score):
+                least = float(np.partition(score, -k)[-k])
+            if least > rest[at] and np.count_nonzero(score >= least - rest[at]) <= 4 * k:
+                break
+        if at < len(terms):
+            open_ = score >= least - rest[at]
+            score *= open_
+            self._add(score, terms[at:], weights[at:], open_, least)
+        hit = np.flatnonzero(score > 0)
+        if len(hit) > k:
+            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
+        order = np.lexsort((hit, -score[hit]))[:k]
+        return hit[order], score[hit[order]]
+
+    def _add(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray, open_: np.ndarray | None = None, least: float = 0.0) -> None:
+        """Adds the terms' products to the scores; with ``open_`` only there, and only in blocks that can reach ``least``."""
+        first, end = self.cells[terms].astype(np.int64), self.cells[terms + 1]
+        if open_ is not None:
+            n = end - first
+            cell, weights = ranges(first, n), np.repeat(weights, n)
+            block = self.block[cell]
+            bound = np.bincount(block, weights * self.top[cell], self.blocks) + score.reshape(-1, BLOCK).max(1) + 1e-9
+            visit = (bound >= least) & open_.reshape(-1, BLOCK).any(1)
+            score.reshape(-1, BLOCK)[~visit] = 0
+            held = visit[block]
+            first, end, weights = cell[held], cell[held] + 1, weights[held]
+        start = self.ptr[first].astype(np.int64)
+        n = self.ptr[end] - start
+        post = ranges(start, n)
+        more = np.bincount(self.doc[post], np.repeat(weights, n) * self.weight[post], len(score))
+        score += more if open_ is None else more * open_
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[float, list[int]]:
         """Score of a vector and the doc_ids of its three nearest examples."""
@@ -155,19 +180,20 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> bytes:
-    """Vocabulary, weights and index, pickled; its size is bounded by ``max_examples`` and ``VOCABULARY``."""
+    """Vocabulary, weights and index, pickled; its size is bounded by the texts of ``max_examples`` rows."""
     sample = checkpointed(examples(docs, labels, max_examples).coalesce(16))
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counts = sample.select("text", "toxic").mapInArrow(_count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
-    a, b, t, f = F.col("a").cast("double"), F.col("b").cast("double"), F.lit(float(pos)), F.lit(float(n - pos))
-    chi2 = F.lit(float(n)) * F.pow(a * (f - b) - b * (t - a), 2) / F.greatest((a + b) * (F.lit(float(n)) - a - b) * t * f, F.lit(1e-9))
-    top = counts.where(F.col("a") + F.col("b") >= MIN_DOCS).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "f").limit(VOCABULARY)
-    picked = sorted((r.f & (2**64 - 1), r.a + r.b) for r in top.collect())  # at most VOCABULARY rows
-    vocab = np.array([x for x, _ in picked], np.uint64)
-    idf = np.log((1 + n) / (1 + np.array([d for _, d in picked], float))) + 1
+    found = counts.where(F.col("a") + F.col("b") >= 2).toArrow()  # the features of at most max_examples texts
+    vocab, a, b = (found.column(x).to_numpy() for x in ("f", "a", "b"))
+    order = np.argsort(vocab.view(np.uint64))
+    vocab, a, b = vocab.view(np.uint64)[order], a[order].astype(float), b[order].astype(float)
+    spread = (a + b) * (n - a - b) * pos * (n - pos)
+    phi = np.abs(a * (n - pos - b) - b * (pos - a)) / np.sqrt(np.where(spread > 0, spread, np.inf))
+    idf = (np.log((1 + n) / (1 + a + b)) + 1) * (FLOOR + phi)
     rows = sample.mapInArrow(_encode(vocab, idf), "doc_id long, toxic int, terms binary, weights binary").collect()  # at most max_examples rows
     rows.sort(key=lambda r: (r.doc_id, bytes(r.terms)))
-    index = BlockMaxIndex([r.doc_id for r in rows], [r.toxic for r in rows], [(np.frombuffer(r.terms, np.int32), np.frombuffer(r.weights)) for r in rows], len(vocab))
+    index = BlockMaxIndex([r.doc_id for r in rows], [r.toxic for r in rows], [(np.frombuffer(r.terms, np.int32), np.frombuffer(r.weights, np.float32)) for r in rows], len(vocab))
     return pickle.dumps((vocab, idf, index))
 
 
