@@ -66,18 +66,20 @@ def g11(spark, d):
 def j10(spark, d):
     """Best match of client paths and routes: equal 100, equal but for parameters 95, else 0.
 
-    A route's shape (parameters blanked) is the join key: the client's possible shapes, one for each segment blanked, are exploded.
+    A route's shape (parameters blanked) is the join key: the client's path is blanked in every set of places that routes of its
+    length have parameters in.
     """
     url = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("?"), F.lit(1))
     path = F.regexp_replace(F.regexp_replace(url, "^[^/]*", ""), "#.*$", "")
     x = p.read(spark, d, "pages").select("page_id", path.alias("path"))
     routes = x.where("page_id % 5 = 0").select(F.regexp_replace("path", "[0-9]+", "{}").alias("route")).distinct()
-    blank = F.array_join(F.transform(F.split("route", "/"), lambda s: F.when(s.contains("{}"), "*").otherwise(s)), "/")
-    shapes = routes.select(blank.alias("shape")).distinct().withColumn("dynamic", F.lit(95))
+    parts = lambda c: F.split(c, "/")
+    free = F.filter(F.transform(parts("route"), lambda s, i: F.when(s.contains("{}"), i).otherwise(-1)), lambda i: i >= 0)
+    blanked = lambda c: F.array_join(F.transform(parts(c), lambda s, i: F.when(F.array_contains("free", i), "*").otherwise(s)), "/")
+    shapes = routes.select("route", F.size(parts("route")).alias("size"), free.alias("free")).select("size", "free", blanked("route").alias("shape")).distinct()
     calls = x.where("page_id % 5 <> 0")
-    parts = F.split("path", "/")
-    masks = F.transform(F.sequence(F.lit(0), F.shiftleft(F.lit(1), 4) - 1), lambda m: F.array_join(F.transform(parts, lambda s, i: F.when((i > 0) & (i <= 4) & (F.pmod(F.floor(m / F.pow(F.lit(2), i - 1)), F.lit(2)) == 1), "*").otherwise(s)), "/"))
-    dynamic = calls.select("page_id", F.explode(F.array_distinct(masks)).alias("shape")).join(shapes, "shape").groupBy("page_id").agg(F.max("dynamic").alias("dynamic"))
+    able = calls.select("page_id", "path", F.size(parts("path")).alias("size")).join(shapes.select("size", "free").distinct(), "size")
+    dynamic = able.select("page_id", "size", "free", blanked("path").alias("shape")).join(shapes, ["size", "free", "shape"], "left_semi").select("page_id", F.lit(95).alias("dynamic")).distinct()
     exact = calls.join(routes.select(F.col("route").alias("path"), F.lit(100).alias("exact")), "path", "left")
     return exact.join(dynamic, "page_id", "left").select("page_id", F.coalesce("exact", "dynamic", F.lit(0)).alias("confidence"))
 
