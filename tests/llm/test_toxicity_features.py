@@ -19,18 +19,52 @@ def test_few_examples_still_give_features(spark):
     assert max(low) < min(high)
 
 
-@pytest.mark.parametrize("first", [1, 50, 1 << 16])
-def test_pruned_search_is_exact(monkeypatch, first):
-    monkeypatch.setattr(toxicity, "FIRST", first)
-    rng = np.random.default_rng(first)
-    dense = rng.random((400, 300)) * (rng.random((400, 300)) < 0.1) * np.exp(rng.normal(size=300) * 2)
-    dense[10:30] = dense[10] + 0.01 * dense[10:30]
-    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
-    index = toxicity.BlockMaxIndex(list(range(400)), [0] * 400, [(np.flatnonzero(v).astype(np.int32), v[v > 0]) for v in dense], 300)
-    for v in dense[:80]:
-        t = np.flatnonzero(v).astype(np.int32)
-        d, s = index.nearest(t, v[t], 15)
-        full = dense @ v
+@pytest.mark.parametrize(("common", "dense"), [(0, 16), (40, 4), (2048, 10**6)])
+def test_pruned_search_is_exact(monkeypatch, common, dense):
+    """Whatever lists are held dense, the nearest examples and their cosines are those of brute force."""
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    monkeypatch.setattr(toxicity, "POSTINGS", 500)
+    rng = np.random.default_rng(common)
+    x = rng.random((400, 300)) * (rng.random((400, 300)) < 0.1) * np.exp(rng.normal(size=300) * 2)
+    x[10:30] = x[10] + 0.01 * x[10:30]
+    x[50:80] = x[50]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = rng.integers(0, 2, 400)
+    index = toxicity.BlockMaxIndex(list(range(400)), label.tolist(), [(np.flatnonzero(v).astype(np.int32), v[v > 0]) for v in x], 300)
+    some = x[:80]
+    term = [np.flatnonzero(v) for v in some]
+    ptr = np.r_[0, np.cumsum([len(t) for t in term])]
+    weight = np.concatenate([v[v > 0] for v in some])
+    scores, evidence = index.votes(ptr, np.concatenate(term), weight)
+    for i, v in enumerate(some):
+        d, s = index.nearest(term[i], v[term[i]], 15)
+        full = x @ v
         assert np.allclose(s, np.sort(full)[::-1][: len(d)], atol=1e-6)
         assert np.allclose(s, full[d], atol=1e-6)
         assert len(d) == min(15, int((full > 0).sum()))
+        assert evidence[i] == d[:3].tolist()
+        assert scores[i] == pytest.approx((s @ label[d] + toxicity.SHRINK * label.mean()) / (s.sum() + toxicity.SHRINK))
+
+
+def test_words_of_one_example_count(spark):
+    """The vocabulary is every word of the examples, those of a single one included."""
+    rows = [(i, f"common words here rare{chr(97 + i // 26)}{chr(97 + i % 26)}x") for i in range(60)]
+    df = spark.createDataFrame([*rows, (100, "rarebcx alone"), (None, "rarebcx"), (101, "x " * 400000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(df, labels).collect()}
+    near = [i for i, t in rows if "rarebcx" in t and __import__("zlib").crc32(str(i).encode()) % 5]
+    assert got[100].evidence[:1] == got[None].evidence[:1] == near
+    assert len(got) == 63
+
+
+def test_the_stage_keeps_columns_of_clashing_names(spark, tmp_path):
+    rows = [(i, "you vile scum of words" if i % 3 == 0 else "kind plain words here", "mine", 0.25) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (None, None, "none", None)], "doc_id long, text string, evidence string, score double")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [i for i in range(120) if i % 3]
+    assert {(r.evidence, r.score) for r in got} == {("mine", 0.25), ("none", None)}
+    held = toxicity.op9_toxicity(spark, str(tmp_path))
+    assert held.where("held_out is null").count() == 0
