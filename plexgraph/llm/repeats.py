@@ -10,8 +10,9 @@ C  each part marks what its documents' windows cover.
 
 Equal runs collapse in their part before they travel, so a passage that a third of all documents share costs a
 group one row a part, however many documents have it. An anchor with over ``HOT`` different runs is not grouped by
-itself: its windows travel singly, keyed by their whole content. All data moves as packed arrays; the text is shuffled
-once and that exchange serves all passes.
+itself: its windows travel singly, grouped by a prefix of their own, the longer the fuller the anchor is, up to the whole
+window (see :func:`prefix_length`). Runs count as equal only if their anchors, hashes and texts are. All data moves as
+packed arrays; the text is shuffled once and that exchange serves all passes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK, SOLID, from_planes, mix, partitions_for, planes, ranges, span_hashes, spans, text_bytes
 
-HOT = 4000
+#: Different runs of an anchor that make a group, and how many times as many lengthen the prefix once more.
+HOT, FULLER, LEVELS = 4000, 16, 4
 _LAST = 2**63 - 1
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -40,6 +42,17 @@ class Unit:
     gram: int
 
 
+def prefix_length(unit: Unit, level: int) -> int:
+    """Symbols of a window that name its group: the anchor's gram at level 0, the whole window at the last level."""
+    return unit.gram + (unit.length - unit.gram) * level // LEVELS
+
+
+def levels(runs: np.ndarray) -> np.ndarray:
+    """The level of anchors with so many different runs."""
+    full = np.maximum(runs, 1) / HOT
+    return np.where(runs > HOT, np.clip(np.ceil(np.log(full) / np.log(FULLER)), 1, LEVELS), 0).astype(np.int64)
+
+
 class Part:
     """The documents of a part as one array of symbols, with the runs of windows that share an anchor."""
 
@@ -138,25 +151,25 @@ def _name_anchors(unit: Unit, buckets: int):
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         fresh = np.r_[True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])].astype(np.int64) if len(key) else np.zeros(0, np.int64)
         if len(at):
-            runs = np.minimum(np.add.reduceat(fresh, at), 127)
+            runs = np.minimum(np.add.reduceat(fresh, at), (1 << 23) - 1)
             several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
             key = key[at]
         else:
             runs, several = np.zeros(0, np.int64), np.zeros(0, bool)
-        note = (runs | several.astype(np.int64) << 7).astype(np.uint64)
-        return _rows((key % np.uint64(buckets)).astype(np.int64), int(table.column("p")[0].as_py()), lambda k: (len(k), planes(key[k], 5) + planes(note[k], 1)))
+        note = (runs | several.astype(np.int64) << 23).astype(np.uint64)
+        return _rows((key % np.uint64(buckets)).astype(np.int64), int(table.column("p")[0].as_py()), lambda k: (len(k), planes(key[k], 5) + planes(note[k], 3)))
 
     return run
 
 
 def _shared_anchors(table: pa.Table) -> pa.Table:
-    """Answers each part with those of its anchors that two documents have, the hot ones marked."""
+    """Answers each part with those of its anchors that two documents have, and their levels."""
     senders, ns, datas = table.column("sender").to_numpy(), table.column("n").to_numpy(), [x.as_buffer() for c in table.column("data").chunks for x in c]
     key = np.concatenate([from_planes(d, n, 5) for d, n in zip(datas, ns)])
-    note = np.concatenate([from_planes(memoryview(d)[5 * n :], n, 1) for d, n in zip(datas, ns)]).astype(np.int64)
+    note = np.concatenate([from_planes(memoryview(d)[5 * n :], n, 3) for d, n in zip(datas, ns)]).astype(np.int64)
     _, at, n = np.unique(key, return_inverse=True, return_counts=True)
-    shared = (n > 1) | (np.bincount(at, note >> 7) > 0)
-    hot = np.bincount(at, note & 127) > HOT
+    shared = (n > 1) | (np.bincount(at, note >> 23) > 0)
+    hot = levels(np.bincount(at, note & ((1 << 23) - 1)))
     out, keep, hot, i = [], shared[at], hot[at], 0
     for sender, size in zip(senders, ns):
         k = np.flatnonzero(keep[i : i + size]) + i
@@ -177,26 +190,35 @@ def _send_runs(unit: Unit, buckets: int):
             return _rows(np.zeros(0, np.int64), 0, None)
         part = Part(docs, unit)
         keys, marks = zip(*[(from_planes(d, n, 5), from_planes(memoryview(d)[5 * n :], n, 1)) for d, n, _ in _blobs(answers)])
-        keys, marks = np.concatenate(keys), np.concatenate(marks) > 0
-        hot = part.split(keys[marks])
+        keys, marks = np.concatenate(keys), np.concatenate(marks).astype(np.int64)
+        turn = np.argsort(keys)
+        keys, marks = keys[turn], marks[turn]
+        part.split(keys[marks > 0])
         runs = np.flatnonzero(np.isin(part.key[part.lo], keys))
-        sig, doc = part.signatures(runs), part.ids[part.documents(runs)]
-        order = np.argsort(sig, kind="stable")
-        runs, sig, doc = runs[order], sig[order], doc[order]
-        at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+        sig, doc, key = part.signatures(runs), part.ids[part.documents(runs)], part.key[part.lo[runs]]
+        order = np.lexsort((sig, key))
+        runs, sig, doc, key = runs[order], sig[order], doc[order], key[order]
+        at = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]) if len(sig) else np.zeros(0, np.int64)
         if not len(at):
             return _rows(np.zeros(0, np.int64), 0, None)
         low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
         runs, sig = runs[at], sig[at]
         lo, hi = part.lo[runs], part.hi[runs]
-        key, hot = part.key[lo], hot[runs]
+        key = key[at]
+        hot = marks[np.searchsorted(keys, key)]
         windows, left = hi - lo, part.anchor[lo] - part.at[lo]
         text = [part.content(r) for r in runs]
         size = np.fromiter(map(len, text), np.int64, len(text))
-        group = np.where(hot, mix(sig) >> np.uint64(24), key)
+        group = key.copy()
+        for level in range(1, LEVELS + 1):  # windows of an over-full anchor, by a longer prefix of their own
+            k = np.flatnonzero(hot == level)
+            k = k[np.argsort(lo[k])]
+            begin = part.at[lo[k]]
+            own = span_hashes(part.symbols, begin, begin + prefix_length(unit, level))
+            group[k] = mix(own ^ mix(key[k] * np.uint64(64) + left[k].astype(np.uint64))) >> np.uint64(24)
 
         def pack(k):
-            cols = ((key, 5), (sig, 8), (low, 8), (high - low, 8), (hot, 1), (windows, 1), (left, 1), (size, 4))
+            cols = ((key, 5), (group, 5), (sig, 8), (low, 8), (high - low, 8), (hot > 0, 1), (windows, 1), (left, 1), (size, 4))
             packed = pa.compress(b"".join([text[i] for i in k]), codec="zstd", asbytes=True)
             return len(k), b"".join([*(planes(x[k].astype(np.uint64), w) for x, w in cols), packed])
 
@@ -217,28 +239,53 @@ class Runs:
     low: np.ndarray
 
 
+def same_texts(keys: tuple[np.ndarray, ...], buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of texts with equal keys and equal contents: each class's first text, and each text's class.
+
+    ``keys`` should hold a hash of the text; where texts of one hash differ, each of those that differ from the first of
+    their hash is a class of its own."""
+    n = len(size)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((*keys, size))
+    new = np.zeros(n, bool)
+    new[0] = True
+    for k in (*keys, size):
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    other = np.flatnonzero(head != order)
+    for lo in range(0, len(other), 1 << 14):
+        k = other[lo : lo + (1 << 14)]
+        length = size[order[k]]
+        differ = buf[ranges(start[order[k]], length)] != buf[ranges(start[head[k]], length)]
+        if differ.any():
+            head[k] = np.where(np.bincount(np.repeat(np.arange(len(k)), length), differ, len(k)) > 0, order[k], head[k])
+    of = np.empty(n, np.int64)
+    of[order] = head
+    return np.unique(of, return_inverse=True)
+
+
 def _answer_runs(solve: Callable[[Runs], np.ndarray]):
     def run(table: pa.Table) -> pa.Table:
-        cols, texts, senders, sizes = [[] for _ in range(8)], [], [], []
+        cols, texts, senders, sizes = [[] for _ in range(9)], [], [], []
         for data, n, sender in _blobs(table):
             view, at = memoryview(data), 0
-            for c, w in zip(cols, (5, 8, 8, 8, 1, 1, 1, 4)):
+            for c, w in zip(cols, (5, 5, 8, 8, 8, 1, 1, 1, 4)):
                 c.append(from_planes(view[at:], n, w))
                 at += n * w
             texts.append(np.frombuffer(pa.decompress(view[at:], int(cols[-1][-1].sum()), codec="zstd"), np.uint8))
             senders.append(sender)
             sizes.append(n)
-        key, sig, low, high, hot, windows, left, size = (np.concatenate(c) for c in cols)
+        key, group, sig, low, high, hot, windows, left, size = (np.concatenate(c) for c in cols)
         low, high, windows, left, size, hot = low.astype(np.int64), (low + high).astype(np.int64), windows.astype(np.int64), left.astype(np.int64), size.astype(np.int64), hot > 0
         del cols
-        _, first, cls = np.unique(sig, return_index=True, return_inverse=True)
-        least = np.full(len(first), _LAST)
-        np.minimum.at(least, cls, low)
         buf, start = np.concatenate(texts), np.cumsum(size) - size
         del texts
+        first, cls = same_texts((group, sig, left), buf, start, size)
+        least = np.full(len(first), _LAST)
+        np.minimum.at(least, cls, low)
         own = buf[ranges(start[first], size[first])]
-        group = np.where(hot, mix(sig) >> np.uint64(24), key)[first]
-        runs = Runs(group, windows[first], left[first], own, np.r_[0, np.cumsum(size[first])], least)
+        runs = Runs(group[first], windows[first], left[first], own, np.r_[0, np.cumsum(size[first])], least)
         best = solve(runs)  # of every window of every different run the smallest doc_id
         at = np.cumsum(runs.windows) - runs.windows
         tell = np.minimum.reduceat(best, at)[cls] < high
@@ -257,7 +304,7 @@ def _answer_runs(solve: Callable[[Runs], np.ndarray]):
             pos = np.flatnonzero(fresh)
             length = np.diff(np.r_[pos, len(flat)])
             pieces = np.diff(np.r_[np.searchsorted(pos, begin), len(pos)])
-            data = [planes(x.astype(np.uint64), b) for x, b in ((sig[k], 8), (hot[k], 1), (np.where(hot[k], key[k], 0), 5), (pieces, 1), (length, 1), (flat[pos], 8))]
+            data = [planes(x.astype(np.uint64), b) for x, b in ((sig[k], 8), (hot[k], 1), (key[k], 5), (pieces, 1), (length, 1), (flat[pos], 8))]
             out.append((int(sender), len(pos), len(k), b"".join(data)))
         c = list(zip(*out)) if out else [(), (), (), ()]
         return pa.table({"to": pa.array(c[0], pa.int64()), "sender": pa.array(c[1], pa.int64()), "n": pa.array(c[2], pa.int64()), "data": pa.array(c[3], pa.binary())})
@@ -278,12 +325,16 @@ def _covered(part: Part, answers: pa.Table) -> np.ndarray:
     if got and len(part.at):
         sig, hot, key, pieces, length, low = (np.concatenate(c) for c in zip(*got))
         part.split(np.unique(key[hot > 0]))
-        order = np.argsort(sig, kind="stable")
         begin = np.cumsum(pieces.astype(np.int64)) - pieces.astype(np.int64)
-        mine = part.signatures()
-        at = np.minimum(np.searchsorted(sig[order], mine), len(sig) - 1)
-        run = np.flatnonzero(sig[order][at] == mine)
-        told = order[at[run]]
+        shared = np.flatnonzero(np.isin(part.key[part.lo], key))
+        mine, mine_key = part.signatures(shared), part.key[part.lo[shared]]
+        # told runs and own runs of one anchor and hash stand side by side, the told one first
+        order = np.lexsort((np.r_[np.zeros(len(sig), np.int8), np.ones(len(mine), np.int8)], np.r_[sig, mine], np.r_[key, mine_key]))
+        both_sig, both_key = np.r_[sig, mine][order], np.r_[key, mine_key][order]
+        new = np.r_[True, (both_sig[1:] != both_sig[:-1]) | (both_key[1:] != both_key[:-1])]
+        head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        here = np.flatnonzero((order >= len(sig)) & (head < len(sig)))
+        run, told = shared[order[here] - len(sig)], head[here]
         n = pieces[told].astype(np.int64)
         piece = ranges(begin[told], n)
         size = length[piece].astype(np.int64)

@@ -1,7 +1,8 @@
 """Substring dedup over words with prefix-partitioned suffix trees.
 
-Suffixes start at anchors (see :mod:`.repeats`), so a group holds suffixes of one prefix of five words; a prefix with too
-many suffixes for memory is lengthened to all 13 words. In each group the suffixes form a truncated suffix tree:
+Suffixes start at anchors (see :mod:`.repeats`), so a group holds suffixes of one prefix of five words. Where a prefix has
+too many suffixes for memory, its windows are suffixes of their own, split by prefixes of 7, 9, 11 or all 13
+words, the longer the more there are. In each group the suffixes form a truncated suffix tree:
 sorted rows are its leaves and the common prefixes of neighbours its internal nodes. A node deep enough to hold the
 rest of a window, split by the words before the anchor, is a repeat; its smallest doc_id keeps the words.
 
