@@ -13,11 +13,15 @@ def half_up(x: Column, digits: int = 0) -> Column:
 
 
 def lexical_tokens(text: Column) -> Column:
-    """Lower-cased identifier parts: cut at what is neither letter nor digit, at camel humps and between letters and digits."""
-    x = F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")
-    x = F.regexp_replace(x, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    x = F.regexp_replace(F.regexp_replace(x, r"([A-Za-z])([0-9])", "$1 $2"), r"([0-9])([A-Za-z])", "$1 $2")
-    return F.array_remove(F.split(F.lower(x), r"[^a-z0-9]+"), "")
+    """Lower-cased identifier parts: cut at what is neither letter nor digit, where a capital follows none, and between
+    letters and digits; a run of capitals stays whole. Lower-cased last, so that other letters never turn into ASCII ones."""
+    return F.transform(identifier_parts(text), lambda x: F.lower(x))
+
+
+def identifier_parts(text: Column) -> Column:
+    """The parts in their own case; one pass over the text."""
+    cut = r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+    return F.array_remove(F.split(text, cut), "")
 
 
 def canonical_path(url: Column) -> Column:
@@ -29,17 +33,6 @@ def canonical_path(url: Column) -> Column:
     return F.regexp_replace(x, r"(.)/$", "$1")
 
 
-def classify_query(q: Column) -> Column:
-    """Quoted, flag, member, identifier or phrase."""
-    return (
-        F.when(q.rlike(r"^[\"'].*[\"']$"), "quoted")
-        .when(q.rlike(r"^--?[A-Za-z]"), "flag")
-        .when(q.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*([.#]|::)[A-Za-z_$]"), "member")
-        .when(q.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*$"), "identifier")
-        .otherwise("phrase")
-    )
-
-
 def heading_slug(title: Column) -> Column:
     """A heading as an anchor."""
     x = F.regexp_replace(F.lower(F.trim(title)), r"[^a-z0-9 _-]", "")

@@ -6,20 +6,18 @@ cluster, subtract what was visited with an anti join and cut lineage with checkp
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.classify import is_demo_file, is_test_file
+from ..session import shared_folder
+
 TIERS = ("inferred", "heuristic", "strong", "exact")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder; a temporary one only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plexgraph-", dir=os.environ.get("TMPDIR")))
+    """A reliable checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -74,10 +72,20 @@ def degrees(edges: DataFrame) -> DataFrame:
     return half.groupBy("h.id").agg(F.sum("h.i").cast("long").alias("fan_in"), F.sum("h.o").cast("long").alias("fan_out"))
 
 
-def hotspots(edges: DataFrame, limit: int = 25) -> DataFrame:
-    """Elements by fan-in plus fan-out over resolved calls and imports; ties by id."""
+def hotspots(edges: DataFrame, nodes: DataFrame, src_only: bool = True, limit: int = 25, offset: int = 0) -> DataFrame:
+    """Elements (id, file) by fan-in plus fan-out over resolved calls and imports; ties by id, unknown elements left out.
+
+    With ``src_only`` edges marked ``test_origin`` (a column that may be missing) don't count, and elements of test and demo
+    files are not ranked.
+    """
+    e = resolved(edges).where(F.col("rel").isin("call", "import"))
+    if src_only and "test_origin" in edges.columns:
+        e = e.where(~F.coalesce("test_origin", F.lit(False)))
+    known = nodes.select("id", "file").dropDuplicates(["id"])
+    if src_only:
+        known = known.where(~is_test_file(F.col("file")) & ~is_demo_file(F.col("file")))
     score = F.col("fan_in") + F.col("fan_out")
-    return degrees(resolved(edges).where(F.col("rel").isin("call", "import"))).withColumn("score", score).orderBy(F.desc("score"), "id").limit(limit)
+    return degrees(e).join(known.select("id"), "id", "left_semi").withColumn("score", score).orderBy(F.desc("score"), "id").offset(offset).limit(limit)
 
 
 def enrich(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
@@ -88,7 +96,9 @@ def enrich(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, inbound: bool = True) -> DataFrame:
     """(id, depth) of what is reached from the seeds (id) in at most ``depth`` steps, at first depth; seeds are left out."""
-    step = edges.select(F.col("tgt" if inbound else "src").alias("id"), F.col("src" if inbound else "tgt").alias("next")).distinct()
+    step = edges.select(F.col("tgt" if inbound else "src").alias("id"), F.col("src" if inbound else "tgt").alias("next"))
+    if depth > 1:  # read by every level, so written once, by its key
+        step = checkpointed(step.where("id is not null and next is not null").repartition("id"))
     seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for level in range(1, depth + 1):
@@ -129,15 +139,16 @@ def all_paths(edges: DataFrame, source, target, depth: int = 5, limit: int | Non
     return found.orderBy("hops", "path").limit(limit) if limit else found
 
 
-def strong_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component) of elements on cycles, named by their smallest id.
 
     Elements without an edge in or out are trimmed; of the rest each takes the largest id that reaches it as its
-    colour, and what reaches a colour's root inside the colour is one component, which then leaves the graph.
+    colour, and what reaches a colour's root inside the colour is one component, which then leaves the graph. Every round
+    finds a component at least, so it goes on until none is left.
     """
     todo = checkpointed(edges.where("src <> tgt").select("src", "tgt").distinct())
     done = None
-    for _ in range(rounds):
+    while True:
         while True:  # trim
             kept = todo.join(todo.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi").join(todo.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi").select("src", "tgt")
             kept = checkpointed(kept)
@@ -165,5 +176,5 @@ def strong_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         todo = checkpointed(todo.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "tgt"), "tgt", "left_anti").select("src", "tgt"))
     if done is None:
         return todo.select(F.col("src").alias("id"), F.col("src").alias("component"))
-    named = done.groupBy("c").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+    named = done.groupBy("c").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")  # a root names one component
     return done.join(named, "c").select("id", "component")

@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from .graph import checkpointed
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
 def bm25(docs: DataFrame, terms: list[str], limit: int) -> DataFrame:
-    """(id, score) of the best texts for distinct query terms; ``docs`` is (id, tokens). Ties by id.
+    """(id, score) of the best texts for distinct query terms; ``docs`` is (id, tokens). Ties by id; no terms, no rows.
 
-    Only occurrences of query terms are exploded; lengths and document counts come from the same pass.
+    Texts are read once: a narrow row of each, its length and how often it has every term, is kept and gives both the
+    statistics and the scores.
     """
     terms = list(dict.fromkeys(terms))
+    if not terms:
+        return docs.select("id", F.lit(0.0).alias("score")).where("false")
     tf = [F.size(F.filter("tokens", _is(t))).alias(f"t{i}") for i, t in enumerate(terms)]
-    counted = docs.select("id", F.size("tokens").alias("dl"), *tf)
+    counted = checkpointed(docs.select("id", F.size("tokens").alias("dl"), *tf))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     some = counted.where(" or ".join(f"t{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # one row
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
@@ -25,6 +29,15 @@ def bm25(docs: DataFrame, terms: list[str], limit: int) -> DataFrame:
     return some.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def multi_query(hits: list[DataFrame], limit: int) -> DataFrame:
+    """Hits (id, score) of several queries: the first query that finds an element gives its score; best first, ties by id."""
+    x = None
+    for i, df in enumerate(hits):
+        one = df.select("id", "score", F.lit(i).alias("q"))
+        x = one if x is None else x.unionByName(one)
+    return x.groupBy("id").agg(F.min_by("score", "q").alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
 def _is(term: str):
     return lambda x: x == term
 

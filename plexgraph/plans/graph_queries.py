@@ -89,9 +89,34 @@ def j08(spark, d):
     return p.read(spark, d, "customer").join(o, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("idle"))
 
 
-@query("a01_hotspots", f"WITH {E}, r AS ({R}), i AS (SELECT tgt AS id, count(*) AS n FROM r GROUP BY 1), o AS (SELECT src AS id, count(*) AS n FROM r GROUP BY 1) SELECT coalesce(i.id, o.id) AS id, CAST(coalesce(i.n, 0) AS BIGINT) AS fan_in, CAST(coalesce(o.n, 0) AS BIGINT) AS fan_out, CAST(coalesce(i.n, 0) + coalesce(o.n, 0) AS BIGINT) AS score FROM i FULL JOIN o ON i.id = o.id ORDER BY score DESC, id LIMIT 25")
+_PLACED = """placed AS (SELECT id, CASE WHEN type = 'part' AND line % 5 = 0 THEN 'src/__tests__/p' || line || '.ts' WHEN type = 'supplier' AND line % 4 = 1 THEN 'examples/s' || line || '.ts'
+  WHEN type = 'supplier' AND line % 4 = 2 THEN 'src/demo-' || line || '.ts' ELSE 'src/' || file || '.ts' END AS file FROM nodes)"""
+
+
+def placed(spark, d):
+    """Elements in source files; some parts in test files, some suppliers in demo files."""
+    line = F.col("line").cast("string")
+    part, supplier = F.col("type") == "part", F.col("type") == "supplier"
+    file = (
+        F.when(part & (F.col("line") % 5 == 0), F.concat(F.lit("src/__tests__/p"), line, F.lit(".ts")))
+        .when(supplier & (F.col("line") % 4 == 1), F.concat(F.lit("examples/s"), line, F.lit(".ts")))
+        .when(supplier & (F.col("line") % 4 == 2), F.concat(F.lit("src/demo-"), line, F.lit(".ts")))
+        .otherwise(F.concat(F.lit("src/"), "file", F.lit(".ts")))
+    )
+    return p.nodes(spark, d).select("id", file.alias("file"))
+
+
+@query(
+    "a01_hotspots",
+    rf"""
+WITH {N}, {E}, {_PLACED}, r AS (SELECT * FROM edges WHERE status = 'resolved' AND rel IN ('call', 'import') AND line <> 5), i AS (SELECT tgt AS id, count(*) AS n FROM r GROUP BY 1), o AS (SELECT src AS id, count(*) AS n FROM r GROUP BY 1),
+x AS (SELECT coalesce(i.id, o.id) AS id, CAST(coalesce(i.n, 0) AS BIGINT) AS fan_in, CAST(coalesce(o.n, 0) AS BIGINT) AS fan_out FROM i FULL JOIN o ON i.id = o.id)
+SELECT id, fan_in, fan_out, fan_in + fan_out AS score FROM x JOIN placed USING (id)
+WHERE NOT regexp_matches(file, '__tests__|\.test\.|\.spec\.|(^|/)examples/|(^|/)demo-[^/]*\.(ts|tsx|js|jsx|mjs|cjs)$') ORDER BY score DESC, id LIMIT 25""",
+)
 def a01(spark, d):
-    return g.hotspots(p.edges(spark, d))
+    """Hotspots of the source: edges of line five come from tests, and test and demo files aren't ranked."""
+    return g.hotspots(p.edges(spark, d).withColumn("test_origin", F.col("line") == 5), placed(spark, d))
 
 
 _FILES = "w AS (SELECT a.file AS sf, b.file AS tf, rel FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = tgt WHERE status = 'resolved' AND a.file <> b.file)"
@@ -187,11 +212,11 @@ def a27(spark, d):
 _ENTRY = "(regexp_matches(file, '^(index|main|app|server|cli|bin)') OR regexp_matches(file, '(^|/)(bin|cli|scripts)(/|$)'))"
 
 
-@query("w01_span_ends", f"WITH {N} SELECT id, file, line, lead(line) OVER (PARTITION BY file ORDER BY line, id) - 1 AS end_line FROM nodes WHERE type = 'orders'")
+@query("w01_span_ends", f"WITH {N} SELECT id, file, line, lead(line) OVER (PARTITION BY file ORDER BY line, id) - 1 AS end_line FROM nodes")
 def w01(spark, d):
     """An element ends where the next one of its file starts."""
     w = Window.partitionBy("file").orderBy("line", "id")
-    return p.nodes(spark, d).where("type = 'orders'").select("id", "file", "line", (F.lead("line").over(w) - 1).alias("end_line"))
+    return p.nodes(spark, d).select("id", "file", "line", (F.lead("line").over(w) - 1).alias("end_line"))
 
 
 @query("w02_top_n_per_file", f"WITH {N} SELECT file, id, k, n, n > 3 AS truncated FROM (SELECT file, id, row_number() OVER (PARTITION BY file ORDER BY line, id) AS k, count(*) OVER (PARTITION BY file) AS n FROM nodes) WHERE k <= 3")
@@ -201,10 +226,10 @@ def w02(spark, d):
     return x.where("k <= 3").withColumn("truncated", F.col("n") > 3)
 
 
-@query("w07_stride_sample", f"WITH {N}, x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE type = 'customer') SELECT id FROM x WHERE i % CAST(ceil(n / 200.0) AS BIGINT) = 0")
+@query("w07_stride_sample", f"WITH {N}, x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM nodes) SELECT id FROM x WHERE i % CAST(ceil(n / 200.0) AS BIGINT) = 0")
 def w07(spark, d):
     """Every k-th element in id order: ranks come from partition offsets of a range sort, so no task holds all rows."""
-    ids = p.nodes(spark, d).where("type = 'customer'").select("id").repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
+    ids = p.nodes(spark, d).select("id").repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
     ids = g.checkpointed(ids)
     sizes = ids.groupBy("part").agg(F.count("*").alias("n"))
     w = Window.orderBy("part")
@@ -258,17 +283,16 @@ def g05(spark, d):
     return g.shortest_path(p.steps(spark, d), 1, 40).select("hops")
 
 
-@query("g06_all_paths", f"WITH RECURSIVE {S}, s AS (SELECT * FROM steps WHERE src < 30 AND tgt < 30), b(pos, path) AS (SELECT tgt, [src, tgt] FROM s WHERE src = 1 UNION ALL SELECT tgt, list_append(path, tgt) FROM b JOIN s ON src = pos WHERE pos <> 5 AND len(path) < 4 AND NOT list_contains(path, tgt)) SELECT CAST(len(path) - 1 AS INT) AS hops, array_to_string(path, '>') AS path FROM b WHERE pos = 5")
+@query("g06_all_paths", f"WITH RECURSIVE {S}, s AS (SELECT * FROM steps), b(pos, path) AS (SELECT tgt, [src, tgt] FROM s WHERE src = 1 UNION ALL SELECT tgt, list_append(path, tgt) FROM b JOIN s ON src = pos WHERE pos <> 5 AND len(path) < 4 AND NOT list_contains(path, tgt)) SELECT CAST(len(path) - 1 AS INT) AS hops, array_to_string(path, '>') AS path FROM b WHERE pos = 5")
 def g06(spark, d):
     """Simple paths of at most three hops."""
-    s = p.steps(spark, d).where("src < 30 and tgt < 30")
-    return g.all_paths(s, 1, 5, 3).select("hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    return g.all_paths(p.steps(spark, d), 1, 5, 3).select("hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("g07_cycles", f"WITH RECURSIVE {S}, s AS (SELECT src, tgt FROM steps WHERE (src + tgt) % 11 = 0 AND src <> tgt), r AS (SELECT src AS a, tgt AS b FROM s UNION SELECT r.a, s.tgt FROM r JOIN s ON r.b = s.src), m AS (SELECT x.a AS id, x.b AS o FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) SELECT id, least(min(o), id) AS component FROM m GROUP BY id HAVING count(*) FILTER (o <> id) > 0")
+@query("g07_cycles", f"WITH RECURSIVE {S}, s AS (SELECT src, tgt FROM steps WHERE src <> tgt), r AS (SELECT src AS a, tgt AS b FROM s UNION SELECT r.a, s.tgt FROM r JOIN s ON r.b = s.src), m AS (SELECT x.a AS id, x.b AS o FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) SELECT id, least(min(o), id) AS component FROM m GROUP BY id HAVING count(*) FILTER (o <> id) > 0")
 def g07(spark, d):
     """Elements on cycles with the smallest id of their component."""
-    return g.strong_components(p.steps(spark, d).where("(src + tgt) % 11 = 0"))
+    return g.strong_components(p.steps(spark, d))
 
 
 @query("g12_tests_for_change", f"WITH RECURSIVE {E}, {N}, r AS (SELECT DISTINCT src, tgt FROM edges WHERE status = 'resolved'), b(id, depth) AS (SELECT id, 0 FROM nodes WHERE id IN ('@P/1','@P/2','@S/1') UNION SELECT src, depth + 1 FROM b JOIN r ON tgt = id WHERE depth < 3), x AS (SELECT id, min(depth) AS depth FROM b GROUP BY id HAVING min(depth) > 0) SELECT file, count(*) AS tests, CAST(min(depth) AS INT) AS depth FROM x JOIN nodes USING (id) WHERE file LIKE 'customer/%' AND file LIKE '%7' GROUP BY file")
@@ -333,10 +357,10 @@ def k04(spark, d):
     return lines.select(F.concat(F.lit("graph TD\n"), F.array_join(F.transform("x", lambda v: F.concat(F.lit("  "), v["s"], F.lit(" --> "), v["t"])), "\n")).alias("diagram"))
 
 
-@query("k07_registry", f"WITH {N} SELECT id, substr(sha256(id), 1, 8) || '-' || substr(sha256(id), 9, 4) || '-' || substr(sha256(id), 13, 4) || '-' || substr(sha256(id), 17, 4) || '-' || substr(sha256(id), 21, 12) AS uuid FROM nodes WHERE type = 'supplier'")
+@query("k07_registry", f"WITH {N} SELECT id, substr(sha256(id), 1, 8) || '-' || substr(sha256(id), 9, 4) || '-' || substr(sha256(id), 13, 4) || '-' || substr(sha256(id), 17, 4) || '-' || substr(sha256(id), 21, 12) AS uuid FROM nodes")
 def k07(spark, d):
     h = F.sha2("id", 256)
-    return p.nodes(spark, d).where("type = 'supplier'").select("id", F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]).alias("uuid"))
+    return p.nodes(spark, d).select("id", F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]).alias("uuid"))
 
 
 @query("edge_ids", f"WITH {E}, {N} SELECT rel, count(DISTINCT eid) AS ids FROM (SELECT rel, substr(sha1(src || ':' || rel || ':' || tgt || ':' || file || ':' || e.line), 1, 16) AS eid FROM edges e JOIN nodes ON id = src) GROUP BY rel")

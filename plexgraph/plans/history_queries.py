@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..operators import interval
 from ..sources import projections as p
 
 C, EL = p.SQL_COMMITS, p.SQL_ELEMENTS
@@ -199,17 +200,24 @@ def d06(spark, d):
 
 
 # hunks against spans, by day buckets of a bounded width
-@query("j06_range_join", "WITH h AS (SELECT o_orderkey AS hunk, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS lo FROM orders WHERE o_orderkey % 25 = 0), s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS a FROM lineitem WHERE l_partkey % 40 = 7) SELECT hunk, count(*) AS touched, CAST(min(a) AS BIGINT) AS earliest FROM h JOIN s ON lo <= a + 4 AND lo + 6 >= a GROUP BY hunk")
+@query(
+    "j06_range_join",
+    """
+WITH h AS (SELECT o_orderkey AS hunk, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS lo FROM orders),
+s AS (SELECT date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS a, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT hunk, CAST(sum(n) AS BIGINT) AS touched, CAST(min(a) AS BIGINT) AS earliest FROM h JOIN s ON lo <= a + 4 AND lo + 6 >= a GROUP BY hunk""",
+)
 def j06(spark, d):
-    """Hunks [lo, lo + 6] that overlap spans [a, a + 4]: both sides in buckets of 16 days, pairs kept in the first common one."""
+    """Hunks [lo, lo + 6] that overlap spans [a, a + 4], counted.
+
+    Equal intervals are counted first on both sides, so the bucket join has a row for each day and not for each pair.
+    """
     day = lambda c: F.date_diff(F.col(c).cast("date"), F.lit("1992-01-01").cast("date"))
-    h = p.read(spark, d, "orders").where("o_orderkey % 25 = 0").select(F.col("o_orderkey").alias("hunk"), day("o_orderdate").alias("lo"))
-    s = p.read(spark, d, "lineitem").where("l_partkey % 40 = 7").select(day("l_shipdate").alias("a"))
-    bucket = lambda lo, width: F.explode(F.sequence(F.floor(lo / 16), F.floor((lo + width) / 16)))
-    h, s = h.withColumn("b", bucket(F.col("lo"), 6)), s.withColumn("b", bucket(F.col("a"), 4))
-    first = F.col("b") == F.floor(F.greatest("lo", "a") / 16)
-    x = h.join(s, "b").where((F.col("lo") <= F.col("a") + 4) & (F.col("lo") + 6 >= F.col("a")) & first)
-    return x.groupBy("hunk").agg(F.count("*").alias("touched"), F.min("a").cast("long").alias("earliest"))
+    h = p.read(spark, d, "orders").select(F.col("o_orderkey").alias("hunk"), day("o_orderdate").alias("lo"))
+    s = p.read(spark, d, "lineitem").groupBy(day("l_shipdate").alias("a")).agg(F.count("*").alias("n"))
+    met = interval.overlaps(h.select("lo", (F.col("lo") + 6).alias("hi")).distinct(), s.select(F.col("a").alias("start"), (F.col("a") + 4).alias("end"), "a", "n"), 16)
+    met = met.groupBy("lo").agg(F.sum("n").cast("long").alias("touched"), F.min("a").cast("long").alias("earliest"))
+    return h.join(met, "lo").select("hunk", "touched", "earliest")
 
 
 @query("j07_as_of_join", "WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts AS vts, event_id AS vid FROM events WHERE event_type = 'view') SELECT event_id, vid AS last_view FROM (SELECT e.event_id, v.vid, row_number() OVER (PARTITION BY e.event_id ORDER BY vts DESC, vid DESC) AS k FROM e LEFT JOIN v ON v.user_id = e.user_id AND vts <= ts) WHERE k = 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import text as t
+from ..functions import classify
 from ..operators import graph, retrieval
 from ..sources import projections as p
 
@@ -49,20 +49,28 @@ def w05(spark, d):
     return retrieval.fuse([top(s), top(s.withColumn("score", F.col("score") % 997))], 15)
 
 
-@query("t02_lexical_surface", f"WITH {N} SELECT id, name || ' ' || name || ' ' || name || ' ' || type || CASE WHEN layer IS NULL THEN '' ELSE ' ' || layer END || ' ' || file AS surface FROM nodes WHERE type IN ('customer', 'supplier')")
+@query(
+    "t02_lexical_surface",
+    f"WITH {N} SELECT id, name || ' ' || name || ' ' || name || ' ' || type || CASE WHEN layer IS NULL THEN '' ELSE ' ' || layer END || ' ' || file AS surface FROM nodes",
+)
 def t02(spark, d):
     """What is indexed of an element: its name three times, type, layer and file."""
-    return p.nodes(spark, d).where(F.col("type").isin("customer", "supplier")).select("id", F.concat_ws(" ", "name", "name", "name", "type", "layer", "file").alias("surface"))
+    return p.nodes(spark, d).select("id", F.concat_ws(" ", "name", "name", "name", "type", "layer", "file").alias("surface"))
 
 
-@query("t07_multi_query", "WITH u AS (SELECT s_suppkey AS id, round(s_acctbal, 2) AS score, 0 AS q FROM supplier WHERE s_nationkey < 10 UNION ALL SELECT s_suppkey, round(s_acctbal / 2, 2), 1 FROM supplier WHERE s_nationkey > 5) SELECT id, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY q) AS k FROM u) WHERE k = 1 ORDER BY score DESC, id LIMIT 20")
+@query(
+    "t07_multi_query",
+    """
+WITH u AS (SELECT s_suppkey AS id, CAST(round(s_acctbal * 100) AS BIGINT) AS score, 0 AS q FROM supplier WHERE s_nationkey < 10
+  UNION ALL SELECT s_suppkey, CAST(round(s_acctbal * 100) AS BIGINT) // 2, 1 FROM supplier WHERE s_nationkey > 5)
+SELECT id, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY q) AS k FROM u) WHERE k = 1 ORDER BY score DESC, id LIMIT 20""",
+)
 def t07(spark, d):
-    """Hits of several queries; the first query that finds one gives its score."""
-    s = p.read(spark, d, "supplier")
-    a = s.where("s_nationkey < 10").select(F.col("s_suppkey").alias("id"), F.round("s_acctbal", 2).alias("score"), F.lit(0).alias("q"))
-    b = s.where("s_nationkey > 5").select(F.col("s_suppkey").alias("id"), F.round(F.col("s_acctbal") / 2, 2).alias("score"), F.lit(1).alias("q"))
-    x = a.unionByName(b).groupBy("id").agg(F.min_by("score", "q").alias("score"))
-    return x.orderBy(F.desc("score"), "id").limit(20)
+    """Hits of several queries; the first query that finds one gives its score, here in whole cents."""
+    s = p.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.round(F.col("s_acctbal") * 100).cast("long").alias("cents"), "s_nationkey")
+    a = s.where("s_nationkey < 10").select("id", F.col("cents").alias("score"))
+    b = s.where("s_nationkey > 5").select("id", F.expr("cast(floor(cents / 2) as long)").alias("score"))
+    return retrieval.multi_query([a, b], 20)
 
 
 @query("t08_related", f"WITH {E}, r AS (SELECT src, tgt FROM edges WHERE status = 'resolved') SELECT id, CAST(max(score) AS DOUBLE) AS score FROM (SELECT tgt AS id, 0.7 AS score FROM r WHERE src = '@O/33' UNION ALL SELECT src, 0.8 FROM r WHERE tgt = '@O/33' UNION ALL SELECT src, 0.8 FROM r WHERE tgt = '@C/3') GROUP BY id")
@@ -113,12 +121,28 @@ def r06(spark, d):
     return x.withColumn("level", F.when(F.col("confidence") >= 95, "auto").when(F.col("confidence") >= 70, "suggest").otherwise("manual"))
 
 
-@query("a35_health_scores", "SELECT s_suppkey, CAST(floor(100 - least(100.0, 25.0 * (s_suppkey % 3) + 10.0 * (s_suppkey % 5) + 5.0 * (s_suppkey % 7)) + 0.5) AS DOUBLE) AS security, CAST(floor(0.6 * (100 - least(100.0, 25.0 * (s_suppkey % 3) + 10.0 * (s_suppkey % 5) + 5.0 * (s_suppkey % 7))) + 0.4 * (100 - 2.0 * (s_suppkey % 30)) + 0.5) AS DOUBLE) AS overall FROM supplier")
+_DEPS = """d AS (SELECT l_orderkey AS k, count(*) AS total, count(*) FILTER (l_linenumber = 1) AS critical, count(*) FILTER (l_linenumber = 2) AS high,
+  count(*) FILTER (l_linenumber <= 3) AS vulns, count(*) FILTER (l_returnflag = 'R') AS outdated, count(*) FILTER (l_returnflag = 'A') AS unused, count(*) FILTER (l_quantity > 45) AS peers,
+  count(*) FILTER (l_quantity < 3) AS licences, CAST(floor(sum(CASE l_linenumber WHEN 2 THEN 25 WHEN 3 THEN 60 WHEN 4 THEN 100 ELSE 50 END) / count(*) + 0.5) AS DOUBLE) AS health FROM lineitem GROUP BY 1)"""
+
+
+@query(
+    "a35_health_scores",
+    f"""
+WITH {_DEPS}, s AS (SELECT k, health, CAST(greatest(0, least(100, 100 - 40 * critical - 20 * high - 10 * (vulns - critical - high) - least(20, 2 * outdated) - least(10, 2 * unused))) AS BIGINT) AS security,
+  CAST(floor(greatest(0, least(100, 100 - (30.0 * outdated + 20.0 * unused + 15.0 * peers + 10.0 * licences) / total)) + 0.5) AS DOUBLE) AS maintenance FROM d)
+SELECT k, health, security, maintenance, CASE WHEN (security + maintenance + health) / 3 >= 90 THEN 'excellent' WHEN (security + maintenance + health) / 3 >= 75 THEN 'good'
+  WHEN (security + maintenance + health) / 3 >= 50 THEN 'fair' WHEN (security + maintenance + health) / 3 >= 25 THEN 'poor' ELSE 'critical' END AS overall FROM s""",
+)
 def a35(spark, d):
-    """Security and overall scores from counts of findings."""
-    i = F.col("s_suppkey")
-    s = 100 - F.least(F.lit(100.0), 25.0 * (i % 3) + 10.0 * (i % 5) + 5.0 * (i % 7))
-    return p.read(spark, d, "supplier").select("s_suppkey", t.half_up(s).alias("security"), t.half_up(0.6 * s + 0.4 * (100 - 2.0 * (i % 30))).alias("overall"))
+    """Orders as manifests and their lines as dependencies: severities by line number, then the three scores and the level."""
+    severity = F.element_at(F.array(*[F.lit(x) for x in ("critical", "high", "moderate", "low")]), F.least(F.col("l_linenumber"), F.lit(4)))
+    x = p.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.when(F.col("l_linenumber") <= 4, severity).otherwise("none").alias("s"), "l_linenumber", "l_returnflag", "l_quantity")
+    n = lambda c, name: F.count_if(c).alias(name)
+    x = x.groupBy("k").agg(F.count("*").alias("total"), n(F.col("s") == "critical", "critical"), n(F.col("s") == "high", "high"), n(F.col("l_linenumber") <= 3, "vulns"), n(F.col("l_returnflag") == "R", "outdated"), n(F.col("l_returnflag") == "A", "unused"), n(F.col("l_quantity") > 45, "peers"), n(F.col("l_quantity") < 3, "licences"), F.collect_list("s").alias("severities"))
+    c = F.col
+    x = x.select("k", classify.health_score(c("severities")).alias("health"), classify.security_score(c("critical"), c("high"), c("vulns"), c("outdated"), c("unused")).alias("security"), classify.maintenance_score(c("total"), c("outdated"), c("unused"), c("peers"), c("licences")).alias("maintenance"))
+    return x.withColumn("overall", classify.overall_health(c("security"), c("maintenance"), c("health")))
 
 
 @query("a33_chunk_statistics", "SELECT label, count(*) AS chunks, CAST(min(len(embedding)) AS BIGINT) AS least, CAST(max(len(embedding)) AS BIGINT) AS most, round(avg(vec_id), 4) AS mean FROM embeddings GROUP BY label")

@@ -6,17 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import classify
 from ..functions.text import half_up
 from ..operators import analytics, clones, graph
 from ..sources import projections as p
 
-_FACTS = "calls AS (SELECT l_orderkey AS site, l_linenumber AS line, l_suppkey, l_quantity, 'Brand#' || (10 + l_suppkey % 40) AS file, 'fn' || (l_partkey % 400) AS callee FROM lineitem WHERE l_linenumber = 1), symbols AS (SELECT 'fn' || (p_partkey % 500) AS name, p_brand AS file, p_partkey AS def FROM part WHERE p_partkey % 3 <> 0)"
+_FACTS = "calls AS (SELECT l_orderkey AS site, l_linenumber AS line, l_suppkey, l_quantity, 'Brand#' || (10 + l_suppkey % 40) AS file, 'fn' || (l_partkey % 400) AS callee FROM lineitem), symbols AS (SELECT 'fn' || (p_partkey % 500) AS name, p_brand AS file, p_partkey AS def FROM part)"
 
 
 def _facts(spark, d):
     n = lambda c: c.cast("string")
-    calls = p.read(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("site"), F.concat(F.lit("Brand#"), n(10 + F.col("l_suppkey") % 40)).alias("file"), F.concat(F.lit("fn"), n(F.col("l_partkey") % 400)).alias("callee"))
-    symbols = p.read(spark, d, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("fn"), n(F.col("p_partkey") % 500)).alias("callee"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("def"))
+    calls = p.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.concat(F.lit("Brand#"), n(10 + F.col("l_suppkey") % 40)).alias("file"), F.concat(F.lit("fn"), n(F.col("l_partkey") % 400)).alias("callee"))
+    symbols = p.read(spark, d, "part").select(F.concat(F.lit("fn"), n(F.col("p_partkey") % 500)).alias("callee"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("def"))
     return calls, symbols
 
 
@@ -84,29 +85,29 @@ def j10(spark, d):
     return exact.join(dynamic, "page_id", "left").select("page_id", F.coalesce("exact", "dynamic", F.lit(0)).alias("confidence"))
 
 
-_BAGS = "e AS (SELECT doc_id AS id, lang AS bucket, unnest(string_split(text, ' ')) AS t, unnest(range(len(string_split(text, ' ')))) AS i FROM documents WHERE n_chars < 700), k AS (SELECT id, bucket, t || '#' || row_number() OVER (PARTITION BY id, t ORDER BY i) AS t FROM e), n AS (SELECT id, count(*) AS n FROM k GROUP BY 1), o AS (SELECT a.id AS a, b.id AS b, count(*) AS o FROM k a JOIN k b ON a.bucket = b.bucket AND a.t = b.t AND a.id < b.id GROUP BY 1, 2)"
+_BAGS = "e AS (SELECT doc_id AS id, lang AS bucket, unnest(string_split(text, ' ')) AS t, unnest(range(len(string_split(text, ' ')))) AS i FROM documents), k AS (SELECT id, bucket, t || '#' || row_number() OVER (PARTITION BY id, t ORDER BY i) AS t FROM e), n AS (SELECT id, count(*) AS n FROM k GROUP BY 1), o AS (SELECT a.id AS a, b.id AS b, count(*) AS o FROM k a JOIN k b ON a.bucket = b.bucket AND a.t = b.t AND a.id < b.id GROUP BY 1, 2)"
 
 
 @query("a17_near_miss_clones", f"WITH {_BAGS} SELECT a, b, round(2.0 * o / (x.n + y.n), 6) AS similarity FROM o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE round(2.0 * o / (x.n + y.n), 6) >= 0.9 AND round(2.0 * o / (x.n + y.n), 6) < 1")
 def a17(spark, d):
-    e = p.read(spark, d, "documents").where("n_chars < 700").select(F.col("doc_id").alias("id"), F.col("lang").alias("bucket"), F.split("text", " ").alias("tokens"))
+    e = p.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("bucket"), F.split("text", " ").alias("tokens"))
     return clones.near_misses(e, 0.9)
 
 
-@query("a07_layer_drift", "WITH v AS (SELECT c_nationkey AS community, c_mktsegment AS layer, count(*) AS n FROM customer WHERE c_custkey % 10 <> 0 GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, layer) AS k, sum(n) OVER (PARTITION BY community) AS voted FROM v) SELECT community, layer AS dominant, floor(n * 1000.0 / voted + 0.5) / 1000 AS purity, CAST(voted - n AS BIGINT) AS outliers FROM t WHERE k = 1 AND voted >= 2")
+@query("a07_layer_drift", "WITH v AS (SELECT c_nationkey AS community, c_mktsegment AS layer, count(*) AS n FROM customer GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, layer) AS k, sum(n) OVER (PARTITION BY community) AS voted FROM v) SELECT community, layer AS dominant, floor(n * 1000.0 / voted + 0.5) / 1000 AS purity, CAST(voted - n AS BIGINT) AS outliers FROM t WHERE k = 1 AND voted >= 2")
 def a07(spark, d):
     """A community's dominant layer, its purity and outliers."""
-    v = p.read(spark, d, "customer").where("c_custkey % 10 <> 0").groupBy(F.col("c_nationkey").alias("community"), F.col("c_mktsegment").alias("layer")).agg(F.count("*").alias("n"))
+    v = p.read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("community"), F.col("c_mktsegment").alias("layer")).agg(F.count("*").alias("n"))
     x = v.groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("m"), "layer")).alias("b"), F.sum("n").alias("voted")).where("voted >= 2")
     n = -F.col("b.m")
     return x.select("community", F.col("b.layer").alias("dominant"), half_up(n * 1.0 / F.col("voted"), 3).alias("purity"), (F.col("voted") - n).alias("outliers"))
 
 
-@query("a22_edge_evidence", "SELECT l_suppkey AS supplier, CASE l_returnflag WHEN 'N' THEN 'proven' WHEN 'R' THEN 'ambiguous' ELSE 'unresolved' END AS provenance, count(*) AS n, array_to_string(list_sort(list_distinct(list(l_orderkey)))[1:5], ',') AS samples FROM lineitem WHERE l_suppkey % 20 = 3 GROUP BY 1, 2")
+@query("a22_edge_evidence", "SELECT l_suppkey AS supplier, CASE l_returnflag WHEN 'N' THEN 'proven' WHEN 'R' THEN 'ambiguous' ELSE 'unresolved' END AS provenance, count(*) AS n, array_to_string(list_sort(list_distinct(list(l_orderkey)))[1:5], ',') AS samples FROM lineitem GROUP BY 1, 2")
 def a22(spark, d):
     """Counts and the first samples of each kind of evidence; samples are ranked, never collected whole."""
     flag = F.when(F.col("l_returnflag") == "N", "proven").when(F.col("l_returnflag") == "R", "ambiguous").otherwise("unresolved")
-    x = p.read(spark, d, "lineitem").where("l_suppkey % 20 = 3").select(F.col("l_suppkey").alias("supplier"), flag.alias("provenance"), "l_orderkey")
+    x = p.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), flag.alias("provenance"), "l_orderkey")
     y = x.groupBy("supplier", "provenance", "l_orderkey").agg(F.count("*").alias("c"))
     y = y.withColumn("k", F.row_number().over(Window.partitionBy("supplier", "provenance").orderBy("l_orderkey")))
     few = F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.col("l_orderkey"))))
@@ -153,14 +154,40 @@ def t13(spark, d):
     return x.select("conv_id", s.alias("score")).withColumn("level", level)
 
 
-@query("p05_test_files", r"WITH f AS (SELECT 'src' || (o_orderkey % 17) || CASE o_orderkey % 5 WHEN 0 THEN '/__tests__/' WHEN 1 THEN '/test/' ELSE '/' END || 'm' || (o_orderkey % 29) || CASE o_orderkey % 7 WHEN 0 THEN '.test.ts' WHEN 1 THEN '.spec.ts' ELSE '.ts' END AS file FROM orders) SELECT count(*) FILTER (regexp_matches(lower(file), '(^|/)(__tests__|tests?|spec)(/)|\.(test|spec)\.')) AS segments, count(*) FILTER (regexp_matches(file, '__tests__|\.test\.|\.spec\.')) AS infix, count(*) FILTER (regexp_matches(file, '(^|/)(index|main|app|server|cli|bin)[^/]*$')) AS entries FROM f")
+_PATHS = """f AS (SELECT CASE o_orderkey % 6 WHEN 0 THEN 'Tests/' WHEN 1 THEN 'tests/' ELSE 'src' || (o_orderkey % 17) || '/' END || CASE o_orderkey % 5 WHEN 0 THEN '__tests__/' WHEN 1 THEN 'cli/' WHEN 2 THEN 'examples/' ELSE '' END
+  || CASE o_orderkey % 11 WHEN 0 THEN 'test_m' WHEN 1 THEN 'index' WHEN 2 THEN 'demo-m' ELSE 'm' END || CASE o_orderkey % 7 WHEN 0 THEN '.test.ts' WHEN 1 THEN '.spec.ts' WHEN 2 THEN '_test.py' WHEN 3 THEN '.py' ELSE '.ts' END AS file FROM orders)"""
+
+
+def _paths(spark, d):
+    k = F.col("o_orderkey")
+    pick = lambda n, *of: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in of]), (F.least(k % n, F.lit(len(of) - 1)) + 1).cast("int"))
+    folder = pick(6, "Tests/", "tests/", F.concat(F.lit("src"), (k % 17).cast("string"), F.lit("/")))
+    return p.read(spark, d, "orders").select(F.concat(folder, pick(5, "__tests__/", "cli/", "examples/", ""), pick(11, "test_m", "index", "demo-m", "m"), pick(7, ".test.ts", ".spec.ts", "_test.py", ".py", ".ts")).alias("file"))
+
+
+@query(
+    "p05_test_files",
+    rf"""
+WITH {_PATHS}, x AS (SELECT file, lower(file) AS l, regexp_extract(file, '[^/]*$') AS n FROM f)
+SELECT count(*) FILTER (regexp_matches(l, '(^|/)(__tests__|__mocks__|tests?)/') OR regexp_matches(l, '\.(test|spec)\.[^/]*$')) AS segments, count(*) FILTER (regexp_matches(file, '__tests__|\.test\.|\.spec\.')) AS infix,
+  count(*) FILTER (regexp_matches(file, '__tests__|\.test\.|\.spec\.') OR n LIKE 'test\_%' ESCAPE '\' OR n LIKE '%\_test.py' ESCAPE '\' OR (file LIKE '%/tests/%' AND n LIKE '%.py')) AS coverage,
+  count(*) FILTER (regexp_matches(file, '__tests__|\.test\.|\.spec\.|/tests/|^tests/|/test_|^test_|_test\.py$')) AS gaps FROM x""",
+)
 def p05(spark, d):
-    """Two of the test-file heuristics and the entry-point one."""
-    k, s = F.col("o_orderkey"), lambda c: c.cast("string")
-    file = F.concat(F.lit("src"), s(k % 17), F.when(k % 5 == 0, "/__tests__/").when(k % 5 == 1, "/test/").otherwise("/"), F.lit("m"), s(k % 29), F.when(k % 7 == 0, ".test.ts").when(k % 7 == 1, ".spec.ts").otherwise(".ts"))
-    f = p.read(spark, d, "orders").select(file.alias("file"))
-    n = lambda c, pattern: F.count_if(c.rlike(pattern))
-    return f.agg(n(F.lower("file"), r"(^|/)(__tests__|tests?|spec)(/)|\.(test|spec)\.").alias("segments"), n(F.col("file"), r"__tests__|\.test\.|\.spec\.").alias("infix"), n(F.col("file"), r"(^|/)(index|main|app|server|cli|bin)[^/]*$").alias("entries"))
+    """The four test-file heuristics over the same paths."""
+    n = lambda f, name: F.count_if(f(F.col("file"))).alias(name)
+    return _paths(spark, d).agg(n(classify.is_test_like, "segments"), n(classify.is_test_file, "infix"), n(classify.is_coverage_test, "coverage"), n(classify.is_gap_test, "gaps"))
+
+
+@query(
+    "p06_entry_points",
+    rf"""
+WITH {_PATHS}, x AS (SELECT lower(file) AS l, file FROM f) SELECT count(*) FILTER (regexp_matches(l, '(^|/)(__tests__|__mocks__|tests?)/') OR regexp_matches(l, '\.(test|spec)\.[^/]*$')
+  OR regexp_matches(l, '(^|/)(index|main|app|server|cli|bin)\.[^./]+$') OR regexp_matches(l, '(^|/)(bin|cli|scripts)/')) AS entries, count(*) FILTER (regexp_matches(file, '(^|/)examples/|(^|/)demo-[^/]*\.(ts|tsx|js|jsx|mjs|cjs)$')) AS demos FROM x""",
+)
+def p06(spark, d):
+    """Entry points (tests are excused like them) and demo files."""
+    return _paths(spark, d).agg(F.count_if(classify.is_entrypoint(F.col("file"))).alias("entries"), F.count_if(classify.is_demo_file(F.col("file"))).alias("demos"))
 
 
 @query("r07_parameter_map", "WITH m(name, type) AS (VALUES ('click','int'), ('view','string'), ('purchase','decimal')) SELECT event_type, coalesce(type, 'unknown') AS type, count(*) AS n FROM events LEFT JOIN m ON name = event_type GROUP BY 1, 2")
@@ -180,7 +207,7 @@ def j13(spark, d):
 @query("g15_communities")
 def g15(spark, d):
     """Label propagation over who acts after whom."""
-    return analytics.communities(p.steps(spark, d).where("(src + tgt) % 7 = 0"))
+    return analytics.communities(p.steps(spark, d))
 
 
 @query("g16_betweenness")
@@ -188,6 +215,10 @@ def g16(spark, d):
     return analytics.betweenness(p.steps(spark, d))
 
 
-@query("g17_articulation_points", "WITH RECURSIVE st AS (SELECT DISTINCT src, tgt FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS tgt FROM events WHERE user_id < 60) WHERE tgt IS NOT NULL AND src <> tgt AND (src * tgt) % 37 = 5), e AS (SELECT src AS a, tgt AS b FROM st UNION SELECT tgt, src FROM st), v AS (SELECT DISTINCT a AS x FROM e), r(x, s, t) AS (SELECT v.x, e.a, e.b FROM v, e WHERE v.x <> e.a AND v.x <> e.b UNION SELECT r.x, r.s, e.b FROM r JOIN e ON e.a = r.t WHERE e.b <> r.x) SELECT DISTINCT p.a AS id FROM e p JOIN e q ON p.a = q.a AND p.b < q.b WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.x = p.a AND r.s = p.b AND r.t = q.b)")
+_LINKS = "t AS (SELECT src AS a, tgt AS b FROM edges WHERE rel = 'import' UNION SELECT tgt, src FROM edges WHERE rel = 'import')"
+
+
+@query("g17_articulation_points", f"WITH {p.SQL_EDGES}, {_LINKS} SELECT a AS id FROM t GROUP BY a HAVING count(DISTINCT b) > 1")
 def g17(spark, d):
-    return analytics.articulation_points(p.steps(spark, d).where("src <> tgt and (src * tgt) % 37 = 5"))
+    """Elements whose loss splits the graph of foreign keys, which is a tree, so that SQL can say which they are."""
+    return analytics.articulation_points(p.edges(spark, d).where("rel = 'import'"))

@@ -6,12 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import classify
 from ..functions import text as t
 from ..operators import retrieval as r
+from ..sources import markdown
 from ..sources import projections as p
 
 EL = p.SQL_ELEMENTS
-_TOKENS = r"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')"
+_HUMPS = r"regexp_replace(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')"
+_TOKENS = f"list_transform(list_filter(regexp_split_to_array({_HUMPS}, '[^A-Za-z0-9]+'), lambda x: x <> ''), lambda x: lower(x))"
 _PATH = r"regexp_replace(regexp_replace('/' || regexp_replace(regexp_replace(regexp_replace(url, '[#?].*$', ''), '^[a-z]+://[^/]*', ''), '\{[^}/]*\}|:[A-Za-z_][A-Za-z0-9_]*|<[^>/]*>|\[[^\]/]*\]', '{}', 'g'), '/+', '/', 'g'), '(.)/$', '\1')"
 
 
@@ -41,13 +44,24 @@ def s08(spark, d):
     return p.read(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit(r"track\(")).cast("long").alias("calls"), F.when(F.col("html").rlike(r"track\([0-9]+\)"), 100).otherwise(80).alias("confidence"))
 
 
-@query("w09_sections", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents WHERE doc_id % 5 = 0), s AS (SELECT doc_id, n, line, sum(CASE WHEN regexp_matches(line, '^[A-Z][a-zà-ÿ]*\.$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS sec FROM l) SELECT doc_id, CAST(sec AS BIGINT) AS sec, count(*) AS lines, CAST(min(n) AS BIGINT) AS start FROM s GROUP BY 1, 2")
+_HEADED = r"regexp_replace(text, '(?m)^([A-Z][a-z]+)\.$', '# \1', 'g')"
+
+
+@query(
+    "w09_sections",
+    rf"""
+WITH l AS (SELECT doc_id, unnest(string_split({_HEADED}, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+h AS (SELECT *, regexp_extract(line, '^#{{1,6}}\s+(.*\S)\s*$', 1) AS title FROM l),
+s AS (SELECT doc_id, n, title, lower(regexp_replace(title, '[^A-Za-z0-9]+', '-', 'g')) AS slug, sum(CASE WHEN title <> '' THEN 1 ELSE 0 END) OVER w AS sec
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT doc_id, sec, n AS start, slug, row_number() OVER (PARTITION BY doc_id, slug ORDER BY n) AS k FROM s WHERE title <> ''),
+c AS (SELECT doc_id, sec, count(*) AS lines FROM s WHERE sec > 0 GROUP BY 1, 2)
+SELECT doc_id, CAST(start + 1 AS BIGINT) AS start, slug || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS slug, lines FROM k JOIN c USING (doc_id, sec)""",
+)
 def w09(spark, d):
-    """Sections between heading lines (here: one-word sentences)."""
-    lines = p.read(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    x = lines.withColumn("sec", F.sum(F.col("line").rlike(r"^[A-Z][a-zà-ÿ]*\.$").cast("long")).over(w))
-    return x.groupBy("doc_id", "sec").agg(F.count("*").alias("lines"), F.min("n").cast("long").alias("start"))
+    """Sections of texts whose one-word sentences on lines of their own are made headings."""
+    headed = F.regexp_replace("text", r"(?m)^([A-Z][a-z]+)\.$", "# $1")
+    return markdown.sections(p.read(spark, d, "documents").select(F.col("doc_id"), headed.alias("content")), "doc_id").select("doc_id", F.col("line").alias("start"), "slug", "lines")
 
 
 @query("s16_tag_parser", r"WITH x AS (SELECT doc_id, '@' || upper(substr(lang, 1, 2)) || '/' || source || '/f' || (doc_id % 9) || '#n' || doc_id || ':' || (doc_id % 50) || '{q=' || (doc_id % 3) || '}' AS ref FROM documents) SELECT doc_id, regexp_extract(ref, '^@([A-Z][A-Za-z0-9]*)/', 1) AS type, regexp_extract(ref, '^@[A-Z][A-Za-z0-9]*/([^#:{]+)', 1) AS path, regexp_extract(ref, '#([^:{]+)', 1) AS element, CAST(regexp_extract(ref, ':([0-9]+)', 1) AS INT) AS line, regexp_extract(ref, '\{q=([^}]*)\}', 1) AS q FROM x")
@@ -74,10 +88,22 @@ def p10(spark, d):
     return p.elements(spark, d).where(F.col("kind").isin("fr", "de") & F.col("file").startswith("src1") & (F.col("loc") > 3)).select("doc_id", "name")
 
 
-@query("p16_query_classes", r"WITH q AS (SELECT conv_id, turn, substr(text, 1, 1 + CAST(turn * 7 % 40 AS INT)) AS q FROM conversations) SELECT CASE WHEN regexp_matches(q, '^[\"''].*[\"'']$') THEN 'quoted' WHEN regexp_matches(q, '^--?[A-Za-z]') THEN 'flag' WHEN regexp_matches(q, '^[A-Za-z_$][A-Za-z0-9_$]*([.#]|::)[A-Za-z_$]') THEN 'member' WHEN regexp_matches(q, '^[A-Za-z_$][A-Za-z0-9_$]*$') THEN 'identifier' ELSE 'phrase' END AS class, count(*) AS n FROM q GROUP BY 1")
+@query(
+    "p16_query_classes",
+    r"""
+WITH q AS (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS q FROM conversations UNION ALL SELECT p_name FROM part
+  UNION ALL SELECT replace(p_type, ' ', '.') FROM part UNION ALL SELECT '--' || lower(p_brand) FROM part UNION ALL SELECT '"' || p_name || '"' FROM part UNION ALL SELECT '--' || replace(lower(p_brand), '#', '-') FROM part)
+SELECT CASE WHEN length(q) >= 2 AND ((q LIKE '"%' AND q LIKE '%"') OR (starts_with(q, chr(39)) AND ends_with(q, chr(39)))) THEN 'quoted'
+  WHEN q = '' OR regexp_matches(q, '\s') THEN 'phrase' WHEN regexp_matches(q, '^-{1,2}[A-Za-z][A-Za-z0-9_-]*$') THEN 'flag'
+  WHEN regexp_matches(q, '^[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)+$') THEN 'member' ELSE 'identifier' END AS class, count(*) AS n FROM q GROUP BY 1""",
+)
 def p16(spark, d):
-    q = p.read(spark, d, "conversations").select(F.substring("text", F.lit(1), 1 + (F.col("turn") * 7 % 40).cast("int")).alias("q"))
-    return q.groupBy(t.classify_query(F.col("q")).alias("class")).agg(F.count("*").alias("n"))
+    """Shapes of whole messages and of names, flags and quoted names."""
+    part = p.read(spark, d, "part")
+    brand = F.lower("p_brand")
+    forms = F.array("p_name", F.replace("p_type", F.lit(" "), F.lit(".")), F.concat(F.lit("--"), brand), F.concat(F.lit('"'), "p_name", F.lit('"')), F.concat(F.lit("--"), F.replace(brand, F.lit("#"), F.lit("-"))))
+    q = p.read(spark, d, "conversations").select(F.col("text").alias("q")).unionByName(part.select(F.explode(forms).alias("q")))
+    return q.groupBy(classify.query_shape(F.col("q")).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("p20_source_window", "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS source FROM documents WHERE len(string_split(text, chr(10))) >= 2")
@@ -141,17 +167,35 @@ def t11(spark, d):
     return x.select("id", F.round(F.least(s, F.col("score") * 2), 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
-@query("t12_strategy", "SELECT CASE WHEN lower(text) LIKE '%depend%' OR lower(text) LIKE '%import%' THEN 'centrality' WHEN lower(text) LIKE '%test%' THEN 'quality' WHEN lower(text) LIKE '%use%' THEN 'usage' ELSE 'balanced' END AS strategy, count(*) AS n FROM conversations GROUP BY 1")
+_ASKED = "(SELECT text AS q FROM conversations UNION ALL SELECT p_name || ' ' || ['who uses it', 'exported', 'tested', 'key part', 'the rest'][CAST(p_partkey % 5 + 1 AS INT)] FROM part)"
+
+
+def _asked(spark, d, endings):
+    """Whole messages, and part names with endings in turn."""
+    ending = F.element_at(F.array(*[F.lit(x) for x in endings]), (F.col("p_partkey") % len(endings) + 1).cast("int"))
+    return p.read(spark, d, "conversations").select(F.col("text").alias("q")).unionByName(p.read(spark, d, "part").select(F.concat_ws(" ", "p_name", ending).alias("q")))
+
+
+@query(
+    "t12_strategy",
+    f"""
+SELECT CASE WHEN regexp_matches(lower(q), 'who uses|what calls|usage') THEN 'usage' WHEN regexp_matches(lower(q), 'public|exported|api') THEN 'public'
+  WHEN regexp_matches(lower(q), 'quality|tested|coverage') THEN 'quality' WHEN regexp_matches(lower(q), 'important|central|key') THEN 'centrality'
+  ELSE 'general' END AS strategy, count(*) AS n FROM {_ASKED} GROUP BY 1""",
+)
 def t12(spark, d):
-    q = F.lower("text")
-    s = F.when(q.contains("depend") | q.contains("import"), "centrality").when(q.contains("test"), "quality").when(q.contains("use"), "usage").otherwise("balanced")
-    return p.read(spark, d, "conversations").groupBy(s.alias("strategy")).agg(F.count("*").alias("n"))
+    return _asked(spark, d, ["who uses it", "exported", "tested", "key part", "the rest"]).groupBy(classify.query_strategy(F.col("q")).alias("strategy")).agg(F.count("*").alias("n"))
 
 
-@query("t14_document_search", "WITH x AS (SELECT doc_id, text, len(list_filter(range(1, length(text) + 1), lambda i: substr(lower(text), i, 2) = 'th')) AS hits, len(string_split(text, ' ')) AS words FROM documents WHERE doc_id % 10 = 3) SELECT doc_id, round(hits / (5.0 * words), 6) AS score FROM x WHERE hits / (5.0 * words) >= 0.1 ORDER BY score DESC, doc_id LIMIT 20")
+@query(
+    "t14_document_search",
+    """
+WITH x AS (SELECT doc_id, (length(lower(text)) - length(replace(lower(text), 'th', ''))) // 2 AS hits, len(string_split(text, ' ')) AS words FROM documents)
+SELECT doc_id, round(hits / (5.0 * words), 6) AS score FROM x WHERE hits / (5.0 * words) >= 0.1 ORDER BY score DESC, doc_id LIMIT 20""",
+)
 def t14(spark, d):
     """Overlapping occurrences over text length."""
-    x = p.read(spark, d, "documents").where("doc_id % 10 = 3").select("doc_id", (F.regexp_count(F.lower("text"), F.lit("(?=th)")) / (5.0 * F.size(F.split("text", " ")))).alias("s"))
+    x = p.read(spark, d, "documents").select("doc_id", (F.regexp_count(F.lower("text"), F.lit("(?=th)")) / (5.0 * F.size(F.split("text", " ")))).alias("s"))
     return x.where("s >= 0.1").select("doc_id", F.round("s", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
@@ -170,11 +214,17 @@ def t22(spark, d):
     return p.read(spark, d, "documents").agg(F.count("*").alias("texts"), F.count_distinct(F.concat(F.sha2("text", 256), F.lit(":m1"))).alias("keys"), F.count_if(F.col("doc_id") % 3 == 0).alias("cached"), F.sum(t.token_estimate(F.col("text"))).alias("tokens"))
 
 
-@query("t25_question_types", "SELECT CASE WHEN regexp_matches(lower(text), '(difference|compare|versus)') THEN 'comparison' WHEN regexp_matches(lower(text), '(best|should)') THEN 'best-practices' WHEN regexp_matches(lower(text), '(^how|^why|explain)') THEN 'explanation' ELSE 'qa' END AS type, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1")
+@query(
+    "t25_question_types",
+    """
+WITH x AS (SELECT text AS q FROM conversations WHERE role = 'user' UNION ALL SELECT p_name || ' ' || ['how does it work', 'vs the other', 'should i use it', 'what is it'][CAST(p_partkey % 4 + 1 AS INT)] FROM part)
+SELECT CASE WHEN regexp_matches(lower(q), 'how does|what does|explain|how works') THEN 'explanation' WHEN regexp_matches(lower(q), 'compare|difference between|vs|versus') THEN 'comparison'
+  WHEN regexp_matches(lower(q), 'best practice|should i|recommend|improve|better') THEN 'best-practices' ELSE 'qa' END AS type, count(*) AS n FROM x GROUP BY 1""",
+)
 def t25(spark, d):
-    q = F.lower("text")
-    k = F.when(q.rlike("(difference|compare|versus)"), "comparison").when(q.rlike("(best|should)"), "best-practices").when(q.rlike("(^how|^why|explain)"), "explanation").otherwise("qa")
-    return p.read(spark, d, "conversations").where("role = 'user'").groupBy(k.alias("type")).agg(F.count("*").alias("n"))
+    q = p.read(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("q"))
+    more = p.read(spark, d, "part").select("p_name", F.element_at(F.array(*[F.lit(x) for x in ("how does it work", "vs the other", "should i use it", "what is it")]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("e"))
+    return q.unionByName(more.select(F.concat_ws(" ", "p_name", "e").alias("q"))).groupBy(classify.question_type(F.col("q")).alias("type")).agg(F.count("*").alias("n"))
 
 
 @query("r02_endpoint_paths", f"SELECT page_id, {_PATH} AS path FROM pages")
@@ -278,7 +328,15 @@ def k05(spark, d):
     return y.select("segment", F.concat(F.lit("## "), "segment", F.lit("\n"), F.array_join(F.transform("l", lambda v: F.concat(F.lit("- "), v["n_name"], F.lit(": "), (-v["m"]).cast("string"))), "\n")).alias("report"))
 
 
-@query("k06_routes_grouped", "SELECT split_part(url, '://', 1) AS framework, count(*) AS n, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) FILTER (page_id < 100) AS first_pages FROM pages GROUP BY 1")
+@query(
+    "k06_routes_grouped",
+    """
+WITH k AS (SELECT split_part(url, '://', 1) AS framework, page_id, row_number() OVER (PARTITION BY split_part(url, '://', 1) ORDER BY page_id) AS k FROM pages)
+SELECT framework, count(*) AS n, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) FILTER (k <= 10) AS first_pages FROM k GROUP BY 1""",
+)
 def k06(spark, d):
-    small = F.array_sort(F.collect_list(F.when(F.col("page_id") < 100, F.col("page_id"))))
-    return p.read(spark, d, "pages").groupBy(F.split_part("url", F.lit("://"), F.lit(1)).alias("framework")).agg(F.count("*").alias("n"), F.array_join(F.transform(small, lambda x: x.cast("string")), ",").alias("first_pages"))
+    """Routes of each framework: how many, and the ten first by rank, so that no group is collected whole."""
+    x = p.read(spark, d, "pages").select(F.split_part("url", F.lit("://"), F.lit(1)).alias("framework"), "page_id")
+    few = x.withColumn("k", F.row_number().over(Window.partitionBy("framework").orderBy("page_id"))).where("k <= 10")
+    few = few.groupBy("framework").agg(F.array_join(F.transform(F.array_sort(F.collect_list("page_id")), lambda v: v.cast("string")), ",").alias("first_pages"))
+    return x.groupBy("framework").agg(F.count("*").alias("n")).join(few, "framework")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +17,18 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which the cluster names in ``spark.checkpoint.dir``.
+
+    A temporary folder stands in for it only where driver and executors are one process; elsewhere a missing setting is an error,
+    for a folder of one machine would lose what other executors write.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plexgraph-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()

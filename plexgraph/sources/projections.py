@@ -26,7 +26,7 @@ edges AS (
   UNION ALL SELECT '@O/' || l_orderkey, '@P/' || l_partkey, 'call', CASE l_returnflag WHEN 'N' THEN 'resolved' WHEN 'R' THEN 'ambiguous' ELSE 'unresolved' END, CAST(l_linenumber AS BIGINT) FROM lineitem
   UNION ALL SELECT '@O/' || l_orderkey, '@S/' || l_suppkey, 'call', CASE l_returnflag WHEN 'N' THEN 'resolved' WHEN 'R' THEN 'ambiguous' ELSE 'unresolved' END, CAST(l_linenumber AS BIGINT) FROM lineitem)"""
 SQL_STEPS = """
-steps AS (SELECT DISTINCT src, tgt FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS tgt FROM events WHERE user_id < 60) WHERE tgt IS NOT NULL)"""
+steps AS (SELECT DISTINCT src, tgt FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS tgt FROM events) WHERE tgt IS NOT NULL)"""
 SQL_COMMITS = """
 commits AS (SELECT 'c' || user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS hash, 'dev' || user_id AS author, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, event_type || '/f' || (event_id % 23) || '.ts' AS file, CAST(floor(abs(value)) AS BIGINT) AS added, CAST(event_id % 7 AS BIGINT) AS deleted FROM events)"""
 SQL_ELEMENTS = """
@@ -82,11 +82,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cyclic graph: who acts after whom in each kind of event, among the first 60 users."""
+    """A cyclic graph: who acts after whom on a day in each kind of event; a day bounds what a task sorts."""
     from pyspark.sql import Window
 
-    after = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return read(spark, sf_dir, "events").where("user_id < 60").select(F.col("user_id").alias("src"), after.alias("tgt")).where("tgt is not null").distinct()
+    after = F.lead("user_id").over(Window.partitionBy("event_type", F.col("ts").cast("date")).orderBy("ts", "event_id"))
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("src"), after.alias("tgt")).where("tgt is not null").distinct()
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,13 +22,27 @@ def edges(spark, rows):
 
 def test_only_resolved_edges_count(spark):
     e = edges(spark, [("a", "b", "call", "resolved", 1), ("a", "b", "call", "ambiguous", 2), ("c", None, "call", "resolved", 3), ("a", "a", "import", "resolved", 4)])
-    got = {r.id: (r.fan_in, r.fan_out, r.score) for r in graph.hotspots(e).collect()}
+    got = {r.id: (r.fan_in, r.fan_out, r.score) for r in graph.hotspots(e, files(spark, a="x.ts", b="y.ts", c="z.ts")).collect()}
     assert got == {"a": (1, 2, 3), "b": (1, 0, 1)}
 
 
+def files(spark, **of):
+    return spark.createDataFrame(list(of.items()), "id string, file string")
+
+
+def test_hotspots_leave_tests_and_demos_out(spark):
+    rows = [("a", "b", True), ("a", "t", False), ("d", "b", False), ("e", "b", None), ("x", "b", False)]
+    e = edges(spark, [(s, t, "call", "resolved", 1) for s, t, _ in rows]).join(spark.createDataFrame(rows, "src string, tgt string, test_origin boolean"), ["src", "tgt"])
+    n = files(spark, a="src/a.ts", b="src/b.ts", t="src/b.test.ts", d="examples/d.ts", e="src/example-extractor.ts")
+    got = {r.id: (r.fan_in, r.fan_out) for r in graph.hotspots(e, n).collect()}
+    assert got == {"a": (0, 1), "b": (3, 0), "e": (0, 1)}
+    every = {r.id: (r.fan_in, r.fan_out) for r in graph.hotspots(e, n, src_only=False).collect()}
+    assert every == {"a": (0, 2), "b": (4, 0), "t": (1, 0), "d": (0, 1), "e": (0, 1)}
+
+
 def test_hotspot_ties_go_by_id(spark):
     e = edges(spark, [(x, y, "call", "resolved", 1) for x, y in (("b", "c"), ("a", "d"))])
-    assert [r.id for r in graph.hotspots(e, 3).collect()] == ["a", "b", "c"]
+    assert [r.id for r in graph.hotspots(e, files(spark, a="a", b="b", c="c", d="d"), limit=3).collect()] == ["a", "b", "c"]
 
 
 def test_resolution_takes_the_first_tier(spark):
