@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine
+from ..functions.classify import query_shape
+from ..functions.text import cosine, half_up
 from .graph import checkpointed
 
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -59,3 +62,52 @@ def fuse(lists: list[DataFrame], limit: int) -> DataFrame:
         ranked = r if ranked is None else ranked.unionByName(r)
     out = ranked.groupBy("id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 9).alias("score"))
     return out.orderBy(F.desc("score"), "id").limit(limit)
+
+
+def exact_name(query: str) -> str:
+    """What a query must equal to name an element: without quotes, after its last dot, lower-cased."""
+    q = (query or "").strip()
+    if len(q) >= 2 and q[0] == q[-1] and q[0] in "\"'":
+        q = q[1:-1]
+    head, dot, tail = q.rpartition(".")
+    return (tail if head and tail else q).lower()
+
+
+def lexical_terms(query: str) -> list[str]:
+    """The distinct identifier parts of a query, as the index has them."""
+    spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", query or "")
+    spaced = re.sub(r"([0-9])([A-Za-z])", r"\1 \2", re.sub(r"([A-Za-z])([0-9])", r"\1 \2", spaced))
+    return list(dict.fromkeys(x.lower() for x in re.split(r"[^A-Za-z0-9]+", spaced) if x))
+
+
+def lexical_search(elements: DataFrame, query: str, limit: int = 10, boost: float = 3.0) -> DataFrame:
+    """(id, name, file, line, type, score) of elements (those and tokens): BM25 over-fetched, an exact name's score times ``boost``, 3 digits."""
+    hits = bm25(elements.select("id", "tokens"), lexical_terms(query), max(limit * 4, 40))
+    x = elements.select("id", "name", "file", "line", "type").join(F.broadcast(hits), "id")  # as few as were fetched
+    score = F.col("score") * F.when(F.lower("name") == exact_name(query), boost).otherwise(1.0)
+    x = x.withColumn("score", score).orderBy(F.desc("score"), "id").limit(limit)
+    return x.withColumn("score", half_up(F.col("score"), 3))
+
+
+def route_query(shape: str, embeddings: bool = True) -> tuple[str, str]:
+    """(lane, reason) of a query's shape: names and flags go to the lexical lane, phrases to the semantic one where it works."""
+    if shape != "phrase":
+        return "lexical", f"{shape}: answered from the symbol table"
+    return ("semantic", "phrase: answered from embeddings") if embeddings else ("lexical", "embeddings unavailable: degraded to the lexical lane")
+
+
+def search(elements: DataFrame, query: str, semantic=None, limit: int = 10) -> tuple[str, str, DataFrame]:
+    """(lane, reason, hits): the lane of the query's shape; a semantic lane that fails or isn't there degrades to the lexical one.
+
+    ``semantic``: a function of query and limit that gives (id, score).
+    """
+    shape = elements.sparkSession.range(1).select(query_shape(F.lit(query)).alias("s")).first().s
+    lane, reason = route_query(shape, semantic is not None)
+    if lane == "semantic":
+        try:
+            hits = semantic(query, limit)
+            hits.schema  # noqa: B018  a lane that can't be planned has failed too
+            return lane, reason, hits
+        except Exception as e:  # noqa: BLE001  whatever a provider raises
+            lane, reason = "lexical", f"{type(e).__name__}: degraded to the lexical lane"
+    return lane, reason, lexical_search(elements, query, limit)

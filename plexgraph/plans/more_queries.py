@@ -103,15 +103,6 @@ def d10(spark, d):
     return y.groupBy("state").agg(F.count("*").alias("files"), F.sum(F.when(F.col("state").isin("deleted", "modified"), F.col("chunks")).otherwise(0)).alias("chunks_to_delete"))
 
 
-@query("r01_route_normal_forms", r"WITH x AS (SELECT page_id, '/u/<int:id>/' || page_id || '/:name/[slug]/$key' AS raw FROM pages) SELECT page_id, regexp_replace(raw, '<[a-z]+:([a-z]+)>', '{\1}', 'g') AS flask, regexp_replace(raw, ':([a-z]+)(/|$)', '{\1}\2', 'g') AS express, regexp_replace(raw, '\[([a-z]+)\]', '{\1}', 'g') AS next, regexp_replace(raw, '[$]([a-z]+)', '{\1}', 'g') AS remix FROM x")
-def r01(spark, d):
-    """Parameters of four frameworks in one notation."""
-    raw = F.concat(F.lit("/u/<int:id>/"), F.col("page_id").cast("string"), F.lit("/:name/[slug]/$key"))
-    x = p.read(spark, d, "pages").select("page_id", raw.alias("raw"))
-    to = lambda pattern, form: F.regexp_replace("raw", pattern, form)
-    return x.select("page_id", to("<[a-z]+:([a-z]+)>", "{$1}").alias("flask"), to(":([a-z]+)(/|$)", "{$1}$2").alias("express"), to(r"\[([a-z]+)\]", "{$1}").alias("next"), to("[$]([a-z]+)", "{$1}").alias("remix"))
-
-
 @query("r06_update_confidence", "SELECT page_id, c AS confidence, CASE WHEN c >= 95 THEN 'auto' WHEN c >= 70 THEN 'suggest' ELSE 'manual' END AS level FROM (SELECT page_id, CAST(CASE page_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 100 WHEN 2 THEN least(100, 60 + page_id % 40 + 5) ELSE 60 + page_id % 40 END AS INT) AS c FROM pages)")
 def r06(spark, d):
     """Confidence of a path update: unmapped, identical, explicit or by pattern."""

@@ -18,32 +18,6 @@ _TOKENS = f"list_transform(list_filter(regexp_split_to_array({_HUMPS}, '[^A-Za-z
 _PATH = r"regexp_replace(regexp_replace('/' || regexp_replace(regexp_replace(regexp_replace(url, '[#?].*$', ''), '^[a-z]+://[^/]*', ''), '\{[^}/]*\}|:[A-Za-z_][A-Za-z0-9_]*|<[^>/]*>|\[[^\]/]*\]', '{}', 'g'), '/+', '/', 'g'), '(.)/$', '\1')"
 
 
-@query("s02_ignore_rules", r"SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '(/(de|es)/|\.html|#top)')")
-def s02(spark, d):
-    """Pages that no ignore rule matches."""
-    rules = ["/(de|es)/", r"\.html", "#top"]
-    return p.read(spark, d, "pages").where(~F.col("url").rlike("(" + "|".join(rules) + ")")).select("page_id", "url")
-
-
-@query("s06_regex_scan", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents), m AS (SELECT doc_id, n AS line, regexp_extract(line, '^([A-Z][a-z]+) ', 1) AS name FROM l) SELECT name, count(*) AS n, count(DISTINCT doc_id) AS docs FROM m WHERE name <> '' GROUP BY name HAVING count(*) >= 5")
-def s06(spark, d):
-    """Elements by a line pattern."""
-    lines = p.read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return lines.select("doc_id", F.regexp_extract("line", "^([A-Z][a-z]+) ", 1).alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("n >= 5")
-
-
-@query("s07_routes", r"SELECT page_id, regexp_extract(html, 'href=\"(/[^\"]*)\"', 1) AS route, len(regexp_extract_all(html, 'href=\"/')) AS n FROM pages")
-def s07(spark, d):
-    """The first route of a page and how many there are."""
-    return p.read(spark, d, "pages").select("page_id", F.regexp_extract("html", r'href="(/[^"]*)"', 1).alias("route"), F.regexp_count("html", F.lit('href="/')).cast("long").alias("n"))
-
-
-@query("s08_client_calls", r"SELECT page_id, len(regexp_extract_all(html, 'track\(')) AS calls, CASE WHEN regexp_matches(html, 'track\([0-9]+\)') THEN 100 ELSE 80 END AS confidence FROM pages")
-def s08(spark, d):
-    """Calls in scripts; literal arguments are certain."""
-    return p.read(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit(r"track\(")).cast("long").alias("calls"), F.when(F.col("html").rlike(r"track\([0-9]+\)"), 100).otherwise(80).alias("confidence"))
-
-
 _HEADED = r"regexp_replace(text, '(?m)^([A-Z][a-z]+)\.$', '# \1', 'g')"
 
 
@@ -296,15 +270,6 @@ def r10(spark, d):
     return x.join(x.where("page_id % 2 = 0").select("ref").distinct(), "ref", "left_anti").groupBy("ref").agg(F.count("*").alias("n"))
 
 
-@query("r12_cyclomatic", r"SELECT doc_id, CAST(1 + len(regexp_extract_all(text, '\bif\b')) + len(regexp_extract_all(text, '\bfor\b')) + len(regexp_extract_all(text, '\bwith\b')) + len(regexp_extract_all(text, '\?')) AS INT) AS complexity FROM documents")
-def r12(spark, d):
-    """One and a point for each branch pattern."""
-    n = F.lit(1)
-    for pattern in (r"\bif\b", r"\bfor\b", r"\bwith\b", r"\?"):
-        n = n + F.regexp_count("text", F.lit(pattern))
-    return p.read(spark, d, "documents").select("doc_id", n.alias("complexity"))
-
-
 @query("r09_tag_validation", "SELECT CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'type' WHEN NOT regexp_matches(source, '^src[0-9]$') THEN 'path' WHEN n_chars > 5000 THEN 'element' ELSE 'ok' END AS verdict, count(*) AS n FROM documents GROUP BY 1")
 def r09(spark, d):
     v = F.when(~F.col("lang").isin("en", "fr", "de"), "type").when(~F.col("source").rlike("^src[0-9]$"), "path").when(F.col("n_chars") > 5000, "element").otherwise("ok")
