@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from .plans import graph_queries, history_queries, more_queries, resolution_queries, source_queries, text_queries  # noqa: E402, F401
+from .plans import build_queries, graph_queries, history_queries, more_queries, resolution_queries, source_queries, text_queries  # noqa: E402, F401

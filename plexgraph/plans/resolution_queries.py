@@ -11,51 +11,6 @@ from ..functions.text import half_up
 from ..operators import analytics, clones, graph
 from ..sources import projections as p
 
-_FACTS = "calls AS (SELECT l_orderkey AS site, l_linenumber AS line, l_suppkey, l_quantity, 'Brand#' || (10 + l_suppkey % 40) AS file, 'fn' || (l_partkey % 400) AS callee FROM lineitem), symbols AS (SELECT 'fn' || (p_partkey % 500) AS name, p_brand AS file, p_partkey AS def FROM part)"
-
-
-def _facts(spark, d):
-    n = lambda c: c.cast("string")
-    calls = p.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), F.concat(F.lit("Brand#"), n(10 + F.col("l_suppkey") % 40)).alias("file"), F.concat(F.lit("fn"), n(F.col("l_partkey") % 400)).alias("callee"))
-    symbols = p.read(spark, d, "part").select(F.concat(F.lit("fn"), n(F.col("p_partkey") % 500)).alias("callee"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("def"))
-    return calls, symbols
-
-
-@query("j05_call_resolution", f"WITH {_FACTS}, l AS (SELECT name, file, count(*) AS n, min(def) AS def FROM symbols GROUP BY 1, 2), g AS (SELECT name, count(*) AS n, min(def) AS def FROM symbols GROUP BY 1) SELECT CASE WHEN callee IN ('fn1','fn2') THEN 'builtin' WHEN l.n = 1 THEN 'resolved' WHEN l.n > 1 THEN 'ambiguous' WHEN g.n = 1 THEN 'resolved' WHEN g.n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS outcome, CASE WHEN callee IN ('fn1','fn2') THEN 'allowlist' WHEN l.n IS NOT NULL THEN 'same_file' WHEN g.n IS NOT NULL THEN 'project' ELSE 'none' END AS rule, count(*) AS n FROM calls c LEFT JOIN l ON l.name = callee AND l.file = c.file LEFT JOIN g ON g.name = callee GROUP BY 1, 2")
-def j05(spark, d):
-    """The bare-call cascade: allow-list, same file, project; the number of candidates decides."""
-    calls, symbols = _facts(spark, d)
-    local = symbols.groupBy("callee", "file").agg(F.count("*").alias("l"))
-    everywhere = symbols.groupBy("callee").agg(F.count("*").alias("g"))
-    x = calls.join(local, ["callee", "file"], "left").join(everywhere, "callee", "left")
-    known, n = F.col("callee").isin("fn1", "fn2"), F.coalesce("l", "g")
-    outcome = F.when(known, "builtin").when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved")
-    rule = F.when(known, "allowlist").when(F.col("l").isNotNull(), "same_file").when(F.col("g").isNotNull(), "project").otherwise("none")
-    return x.groupBy(outcome.alias("outcome"), rule.alias("rule")).agg(F.count("*").alias("n"))
-
-
-@query("j02_import_resolution", f"WITH {_FACTS}, e AS (SELECT DISTINCT file, name FROM symbols), f AS (SELECT DISTINCT file FROM symbols), i AS (SELECT file AS target, callee AS binding, CASE WHEN site % 13 = 0 THEN 'dynamic' WHEN site % 11 = 0 THEN 'package' ELSE 'relative' END AS form FROM calls) SELECT CASE WHEN form = 'dynamic' THEN 'dynamic' WHEN form = 'package' THEN 'external' WHEN f.file IS NULL THEN 'module_not_found' WHEN e.name IS NULL THEN 'export_not_found' ELSE 'resolved' END AS outcome, count(*) AS n FROM i LEFT JOIN f ON f.file = target LEFT JOIN e ON e.file = target AND e.name = binding GROUP BY 1")
-def j02(spark, d):
-    """Specifier to module, then binding to export."""
-    calls, symbols = _facts(spark, d)
-    form = F.when(F.col("site") % 13 == 0, "dynamic").when(F.col("site") % 11 == 0, "package").otherwise("relative")
-    files = symbols.select("file", F.lit(True).alias("module")).distinct()
-    exports = symbols.select("file", "callee", F.lit(True).alias("export")).distinct()
-    x = calls.withColumn("form", form).join(files, "file", "left").join(exports, ["file", "callee"], "left")
-    outcome = F.when(F.col("form") == "dynamic", "dynamic").when(F.col("form") == "package", "external").when(F.col("module").isNull(), "module_not_found").when(F.col("export").isNull(), "export_not_found").otherwise("resolved")
-    return x.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
-
-
-@query("j03_reexport_closure", "WITH RECURSIVE r(k, here, hops) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT k, here // 3, hops + 1 FROM r WHERE here % 7 <> 0 AND hops < 8) SELECT hops, count(*) AS n, count(DISTINCT here) AS definitions FROM r WHERE here % 7 = 0 GROUP BY hops")
-def j03(spark, d):
-    """Follows re-exports to their definition; each hop is one projection, at most eight."""
-    rows = p.read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").alias("here"), F.lit(0).alias("hops"))
-    step = lambda s: F.when((s["here"] % 7 != 0) & (s["hops"] < 8), F.struct(F.floor(s["here"] / 3).alias("here"), (s["hops"] + 1).alias("hops"))).otherwise(s)
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.struct(F.col("here"), F.col("hops")), lambda s, _: step(s))
-    x = rows.select(end.alias("e")).where("e.here % 7 = 0")
-    return x.groupBy(F.col("e.hops").alias("hops")).agg(F.count("*").alias("n"), F.count_distinct("e.here").alias("definitions"))
-
-
 @query("g11_type_hierarchy", "WITH RECURSIVE s AS (SELECT p_partkey AS sub, p_partkey // 4 AS sup FROM part WHERE p_partkey > 3), r(id, depth) AS (SELECT CAST(5 AS BIGINT), 0 UNION SELECT sub, depth + 1 FROM r JOIN s ON sup = id WHERE depth < 10) SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY id HAVING min(depth) > 0")
 def g11(spark, d):
     """All subtypes at first depth."""
