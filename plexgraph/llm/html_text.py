@@ -4,7 +4,8 @@ A page is cut into blocks of text. A hand-set log-linear classifier over tags, c
 and punctuation gives each block two costs, the capacities of its edges to the content and the boilerplate
 terminal; neighbours in page order and blocks under one parent are tied by smoothness edges that weaken with distance
 in the DOM. The minimum cut, found by maximum flow, labels all blocks of a page at once. Blocks whose terminal
-edge outweighs all ties are settled first, which is exact and leaves most pages no flow to compute.
+edge outweighs all ties are settled first, which is exact and leaves most pages no flow to compute. Elements that aren't open
+are never searched for, so a page of misnested tags takes time in proportion to its length.
 
 Defined results: null, empty and markup-only pages give an empty text; unclosed and misnested tags are repaired as browsers
 do for paragraphs and lists; a tag cut off at the end of a page is dropped; unknown character references stay as they are;
@@ -16,7 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +42,11 @@ SMOOTH, FADE = 1.2, 0.45
 
 
 class _Node:
-    __slots__ = ("attrs", "depth", "name", "parent", "weight")
+    __slots__ = ("block", "depth", "name", "parent", "weight")
 
     def __init__(self, name: str, attrs: str, parent: _Node | None):
         self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
+        self.block = self if parent is None or name in _BLOCK else parent.block  # the nearest block element
         own = _AWAY.get(name, 0.0) + _TOWARDS.get(name, 0.0)
         if attrs:
             names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs))
@@ -78,21 +80,30 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     root = _Node("#", "", None)
     stack, parts, linked, link_depth = [root], [], 0, 0
+    open_: Counter[str] = Counter()  # elements of the stack by name, so that what isn't open is never looked for
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                owner = next((n for n in reversed(stack) if n.name in _BLOCK or n is root), root)
-                out.append(Block(text, linked, owner))
+                out.append(Block(text, linked, stack[-1].block))
         parts, linked = [], 0
 
     def pop_to(i: int) -> None:
         nonlocal link_depth
-        link_depth -= sum(n.name == "a" for n in stack[i:])
+        for n in stack[i:]:
+            open_[n.name] -= 1
+            link_depth -= n.name == "a"
         del stack[i:]
 
+    def nearest(names: set[str]) -> int:
+        """The place of the nearest open element of a name, if no scope lies between; else 0."""
+        if not any(open_[n] for n in names):
+            return 0
+        i = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name in names or stack[k].name in _SCOPE), 0)
+        return i if i and stack[i].name in names else 0
+
     at, low = 0, None
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -125,20 +136,19 @@ def blocks(page: str) -> list[Block]:
                 continue
             if name in _BLOCK:
                 flush()
-                if name in _CLOSES_P:
-                    i = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == "p" or stack[k].name in _SCOPE), 0)
-                    if i and stack[i].name == "p":
-                        pop_to(i)
-            closes = _SELF_CLOSING.get(name)
-            if closes:
-                i = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name in closes or stack[k].name in _SCOPE), 0)
-                if i and stack[i].name in closes:
+                i = nearest({"p"}) if name in _CLOSES_P else 0
+                if i:
                     pop_to(i)
+            closes = _SELF_CLOSING.get(name)
+            i = nearest(closes) if closes else 0
+            if i:
+                pop_to(i)
             if not m[3].endswith("/"):
                 stack.append(_Node(name, m[3], stack[-1]))
+                open_[name] += 1
                 link_depth += name == "a"
         else:
-            i = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
+            i = next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name) if open_[name] else 0
             if name in _BLOCK:
                 flush()
             if i:
@@ -179,40 +189,81 @@ def min_cut(gain: list[float], ties: list[tuple[int, int, float]]) -> list[bool]
                 del near[j][i]
                 todo.append(j)
             near[i] = {}
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        for i, side in _max_flow(rest, gain, near).items():
-            label[i] = side
+    for i in range(n):
+        if label[i] is None:
+            part, todo_ = [i], [i]
+            label[i] = False
+            while todo_:  # undecided blocks that ties hang together
+                for j in near[todo_.pop()]:
+                    if label[j] is None:
+                        label[j] = False
+                        part.append(j)
+                        todo_.append(j)
+            for j in _source_side(part, gain, near):
+                label[j] = True
     return label
 
 
-def _max_flow(rest: list[int], gain: list[float], near: list[dict[int, float]]) -> dict[int, bool]:
-    """Shortest augmenting paths; the source side is content."""
-    cap: dict[object, dict[object, float]] = {i: dict(near[i]) for i in rest} | {"s": {}, "t": {}}
-    for i in rest:
-        if gain[i] > 0:
-            cap["s"][i], cap[i]["s"] = gain[i], 0.0
-        else:
-            cap[i]["t"], cap["t"][i] = -gain[i], 0.0
+def _source_side(part: list[int], gain: list[float], near: list[dict[int, float]]) -> list[int]:
+    """Blocks on the content side of the minimum cut: maximum flow by layers, each layering filled with blocking flow."""
+    place = {b: k for k, b in enumerate(part)}
+    n = len(part)
+    s, t = n, n + 1
+    to: list[int] = []
+    cap: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def edge(a: int, b: int, forth: float, back: float) -> None:
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        cap.extend((forth, back))
+
+    for b, k in place.items():
+        edge(s, k, gain[b], 0.0) if gain[b] > 0 else edge(k, t, -gain[b], 0.0)
+        for j, w in near[b].items():
+            if b < j:
+                edge(k, place[j], w, w)
+    least = 1e-12
     while True:
-        back: dict[object, object] = {"s": None}
-        queue = deque(["s"])
-        while queue and "t" not in back:
+        level = [-1] * (n + 2)
+        level[s] = 0
+        queue = deque([s])
+        while queue:
             u = queue.popleft()
-            for v, c in cap[u].items():
-                if c > 1e-12 and v not in back:
-                    back[v] = u
-                    queue.append(v)
-        if "t" not in back:
-            return {i: i in back for i in rest}
-        path, v = [], "t"
-        while back[v] is not None:
-            path.append((back[v], v))
-            v = back[v]
-        flow = min(cap[u][v] for u, v in path)
-        for u, v in path:
-            cap[u][v] -= flow
-            cap[v][u] = cap[v].get(u, 0.0) + flow
+            for e in out[u]:
+                if cap[e] > least and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if level[t] < 0:
+            return [b for b, k in place.items() if level[k] >= 0]
+        turn = [0] * (n + 2)
+        path: list[int] = []
+        u = s
+        while True:
+            if u == t:
+                flow = min(cap[e] for e in path)
+                for e in path:
+                    cap[e] -= flow
+                    cap[e ^ 1] += flow
+                full = next(k for k, e in enumerate(path) if cap[e] <= least)
+                u = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while turn[u] < len(out[u]):
+                e = out[u][turn[u]]
+                if cap[e] > least and level[to[e]] == level[u] + 1:
+                    break
+                turn[u] += 1
+            if turn[u] < len(out[u]):
+                path.append(out[u][turn[u]])
+                u = to[path[-1]]
+            elif path:
+                level[u] = -1  # leads nowhere
+                u = to[path.pop() ^ 1]
+                turn[u] += 1
+            else:
+                break
 
 
 def main_text(page: str | None) -> str:
