@@ -6,14 +6,14 @@ offsets, so no Python object is made per document unless an operator needs one.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 #: Bytes of text that a vectorised step takes at once; its temporaries are about ten times as large.
 CHUNK = 1 << 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -45,12 +45,8 @@ def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where none is named."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plexgraph-checkpoint-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    """The folder that all executors share (``spark.checkpoint.dir``)."""
+    return shared_folder(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -184,8 +180,3 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
-
-
-def local_path(uri: str) -> str:
-    """A path without a ``file:`` scheme."""
-    return os.path.normpath(uri.removeprefix("file://").removeprefix("file:")) if uri.startswith("file:") else uri

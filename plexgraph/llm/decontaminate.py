@@ -3,14 +3,14 @@
 A window is 8 consecutive words of a benchmark item (a shorter item is one window). Both sides are winnowed: of the
 five 4-gram hashes in every 8-word window the smallest is kept, so that a document and an item that share a window
 share a fingerprint. Fingerprints are joined to find candidate documents; only those are extended, by joining all
-their windows with the item windows on the words themselves, and hits are spread over the words they cover.
+their windows with the item windows on 128 bits of hash of their words, and hits are spread over the words they cover.
 
-The benchmark side is broadcast only when its count of distinct fingerprints is within ``BROADCAST_ROWS``; beyond
-that both joins shuffle. Documents that share text with very many items are no hot key: the join keys are
+Each of the three benchmark sides (fingerprints, windows with their items, short windows) is counted and broadcast only
+when its own rows and items are within ``BROADCAST_ROWS``; beyond that its join shuffles. Documents that share text with very many items are no hot key: the join keys are
 hashes of windows, and the benchmark side is distinct in them, so AQE can split a hot document side.
 
 Defined results: null and empty texts have no words and no hits; null or empty items have no window; items with equal
-ids and texts count once; rows of one doc_id count as one document whose texts all count (sums of words and hits);
+ids and texts count once; rows of one doc_id, null too, count as one document whose texts all count (sums of words and hits);
 an empty benchmark hits nothing; extra columns, whatever their names, are ignored.
 """
 
@@ -88,30 +88,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Dat
     grams = every(items.where(F.col("m") == size), [size], "item")
     for m in short:
         grams = grams.unionByName(every(items.where(F.col("m") == m), [m], "item"))
-    grams = grams.groupBy("m", "a", "b").agg(F.collect_set("item").alias("items"))
+    grams = checkpointed(grams.groupBy("m", "a", "b").agg(F.collect_set("item").alias("items")))
     prints = items.where(F.col("m") == size).select(F.explode(fingerprints(coarse_words(F.col("text")))).alias("f")).distinct()
-    hint = F.broadcast if prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
+
+    def sized(df: DataFrame, weight: Column) -> DataFrame:
+        """Broadcast if its rows, weighed by what each holds, are few enough; else as it is."""
+        return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_ROWS else df
+
+    def same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """Joins on doc_id, where null equals null."""
+        right = right.withColumnRenamed("doc_id", "_doc")
+        return left.join(right, left["doc_id"].eqNullSafe(right["_doc"]), how).drop("_doc")
 
     once = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), let(coarse_words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), fingerprints(w).alias("f"))).alias("x"))
     counted = once.select("doc_id", "row", F.col("x.n").alias("n"), F.explode_outer("x.f").alias("f"))
-    marked = counted.join(hint(prints.withColumn("hit", F.lit(1))), "f", "left")
+    marked = counted.join(sized(prints.withColumn("hit", F.lit(1)), F.lit(1)), "f", "left")
     base = marked.groupBy("doc_id", "row").agg(F.first("n").alias("n"), F.max("hit").alias("hit"))
     base = checkpointed(base.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_words"), F.max("hit").alias("hit")))
     candidates = base.where("hit = 1").select("doc_id")
     if short:
         # windows below 8 words have no fingerprint: all documents' windows of those lengths are joined instead
-        lone = hint(grams.where(F.col("m") < size).select("m", "a", "b"))
+        lone = sized(grams.where(F.col("m") < size).select("m", "a", "b"), F.lit(1))
         some = every(docs.select("doc_id", words(F.col("text")).alias("w")), short, "doc_id").join(lone, ["m", "a", "b"], "left_semi").select("doc_id")
         candidates = candidates.unionByName(some).distinct()
 
-    held = docs.select("doc_id", "text").join(candidates, "doc_id", "left_semi")
+    held = same(docs.select("doc_id", "text"), candidates, "left_semi")
     held = held.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
-    found = every(held, [size, *short], "doc_id", "row").join(hint(grams), ["m", "a", "b"])
+    found = every(held, [size, *short], "doc_id", "row").join(sized(grams, F.size("items")), ["m", "a", "b"])
     found = found.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("i", (F.col("i") + F.col("m")).alias("e")))).alias("x"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     # covered words: each interval adds what lies beyond the furthest end before it
     fold = F.aggregate("x", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("e")), lambda a, v: F.struct((a["n"] + F.greatest(v["e"] - F.greatest(v["i"], a["e"]), F.lit(0))).alias("n"), F.greatest(a["e"], v["e"]).alias("e")))
     found = found.select("doc_id", fold["n"].alias("n"), "items").groupBy("doc_id").agg(F.sum("n").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return base.select("doc_id", "n_words").join(found, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return same(base.select("doc_id", "n_words"), found, "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +132,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with any benchmark item: one leaked passage is enough to go."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    out = found.where(F.size("items") >= 1).select("doc_id")
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    out = found.where(F.size("items") >= 1).select(F.col("doc_id").alias("_leaked_doc"))
+    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_leaked_doc")), "left_anti").select(*docs.columns)
 
 
 SQL = r"""

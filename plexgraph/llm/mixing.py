@@ -131,8 +131,12 @@ def _posteriors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def solve(members: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """The residuals of the steps and the step length, from sums over ``members`` (n_tokens, p) alone."""
+def solve(members: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[list[tuple[np.ndarray, float]], float, float]:
+    """The residuals of the steps, the step length, and the shortfall: how far from the targets the last point looked at was.
+
+    Sums over ``members`` (n_tokens, p) alone. The steps end at ``CLOSE``, after ``steps``, or when three of them in a row gain
+    next to nothing, as with targets that no rates can meet; the shortfall then says what is left.
+    """
     k = len(targets)
     slim = members.select("n_tokens", "p")
 
@@ -153,13 +157,14 @@ def solve(members: DataFrame, targets: list[float], steps: int = STEPS) -> tuple
 
     gram, total = sums([], 0.0, 0.0, True)
     if not total:
-        return [], 0.0
+        return [], 0.0, 0.0
     step = 1 / max(1e-12, np.linalg.eigvalsh(gram.reshape(k, k) / total).max())
-    goal, history, t, last, look, still = np.array(targets), [], 1.0, np.inf, 0.0, 0
+    goal, history, t, last, look, still, left = np.array(targets), [], 1.0, np.inf, 0.0, 0, 0.0
     for _ in range(steps):
         got, _ = sums(history, step, look, False)
         residual = got / total - goal
         size = float(residual @ residual)
+        left = size**0.5
         if size < CLOSE**2:
             break
         if size > last and look:  # the momentum overshot
@@ -172,16 +177,16 @@ def solve(members: DataFrame, targets: list[float], steps: int = STEPS) -> tuple
         history, last = [*history, (residual, look)], size
         ahead = (1 + (1 + 4 * t * t) ** 0.5) / 2
         t, look = ahead, (t - 1) / ahead
-    return history, step
+    return history, step, left
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: list[str], source: DataFrame | None = None) -> DataFrame:
-    """The columns ``keep`` of every row with n_tokens, the posteriors p and the fitted rate."""
+    """The columns ``keep`` of every row with n_tokens, the posteriors p, the fitted rate and the fit's shortfall."""
     domains = list(targets)
-    keep = [c for c in keep if c not in ("n_tokens", "p", "rate")]
+    keep = [c for c in keep if c not in ("n_tokens", "p", "rate", "shortfall")]
     classifier = fit(docs if source is None else source, labels, domains)
     members = checkpointed(memberships(docs, classifier, keep))
-    history, step = solve(members, list(targets.values()))
+    history, step, left = solve(members, list(targets.values()))
     kinds = dict(members.dtypes)
 
     def run(batches):
@@ -189,19 +194,22 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: lis
             if batch.num_rows:
                 rate = _rates(_posteriors(batch.column("p")), history, step, 0.0)[0]
                 rate = np.where(batch.column("n_tokens").to_numpy() > 0, rate, 1.0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate), pa.array(np.full(len(rate), left))], [*batch.schema.names, "rate", "shortfall"])
 
-    return members.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in members.columns), "rate double"]))
+    return members.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in members.columns), "rate double, shortfall double"]))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, posteriors and rate of every document for the target mixture."""
     found = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS, ["doc_id"])
-    return found.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate")
+    return found.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate", "shortfall")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their tokens, posteriors and rates."""
-    found = mix(docs, table(spark, sf_dir, "labels"), PIPELINE_TARGETS, docs.columns, source=table(spark, sf_dir, "documents"))
-    kept = [c for c in docs.columns if c not in ("n_tokens", "p", "rate")]
-    return found.select(*kept, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(PIPELINE_TARGETS)], "rate")
+    """The documents with their tokens, posteriors and rates; columns named like the results are replaced."""
+    made = {"n_tokens", "rate", "shortfall", *(f"p_{d}" for d in PIPELINE_TARGETS)}
+    odd = {"p": "_kept_p"} if "p" in docs.columns else {}
+    kept = [c for c in docs.columns if c not in made]
+    renamed = docs.select(*kept).withColumnsRenamed(odd)
+    found = mix(renamed, table(spark, sf_dir, "labels"), PIPELINE_TARGETS, renamed.columns, source=table(spark, sf_dir, "documents"))
+    return found.select(*[F.col(f"`{odd.get(c, c)}`").alias(c) for c in kept], "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(PIPELINE_TARGETS)], "rate", "shortfall")

@@ -5,8 +5,9 @@ a file is scanned on its own: how many separators it holds, the tokens before th
 lengths between. A prefix scan over these small rows gives every block the documents and the open tokens before it,
 which stitches documents across any number of blocks.
 
-:func:`write_tokens` makes such files from texts with a public tokenizer, one file a task, in the shared folder; a
-repeated task writes the same bytes and renames its file into place, so lost executors do no harm.
+:func:`write_tokens` makes such files from texts with a public tokenizer, one file a task, in the shared folder, on any file
+system that Arrow opens (files, hdfs, s3, gs); others raise. An attempt of a task writes a file of its own name, and only the
+files named by the attempts that Spark took are read, so lost executors do no harm.
 
 Defined results: null and empty texts have no tokens (count 0); tokens after the last separator of a file count as a last
 document; repeated rows each get a row; extra columns are ignored; an empty table gives no rows.
@@ -15,7 +16,6 @@ document; repeated rows each get a row; extra columns are ignored; an empty tabl
 from __future__ import annotations
 
 import base64
-import os
 import uuid
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, local_path, shared_dir, table
+from .common import checkpointed, shared_dir, table
 
 END, BLOCK_BYTES = 50256, 4 << 20
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -40,18 +40,31 @@ def encoder(path: str = TOKENIZER):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str = TOKENIZER) -> DataFrame:
+def storage(uri: str):
+    """The file system of a folder and the folder's path there; a path without a scheme is a local one."""
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri.rstrip("/")
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/").rstrip("/")
+    found, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
+    return found, path.rstrip("/")
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Writes the texts' tokens and gives (file, ordinal, doc_id), and per file a row of ordinal -1 with its bytes."""
     kind = dict(docs.dtypes)["doc_id"]
     names = ["file", "ordinal", "doc_id", "bytes"]
 
     def run(batches):
-        encode = encoder(path).encode_ordinary
+        encode = encoder(tokenizer).encode_ordinary
         context = TaskContext.get()
-        name = f"{folder}/part-{context.partitionId():06d}.tokens"
-        part, n, size = f"{name}.{context.taskAttemptId()}", 0, 0
-        os.makedirs(folder, exist_ok=True)
-        with open(part, "wb") as out:
+        file = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.tokens"
+        files, path = storage(folder)
+        name, n, size = f"{folder}/{file}", 0, 0
+        files.create_dir(path, recursive=True)
+        with files.open_output_stream(f"{path}/{file}") as out:
             for batch in batches:
                 for x in batch.column("text"):
                     ids = np.array(encode(x.as_py()) if x.is_valid else [], np.uint16)
@@ -60,7 +73,6 @@ def write_tokens(docs: DataFrame, folder: str, path: str = TOKENIZER) -> DataFra
                 k = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * k), pa.array(np.arange(n, n + k)), batch.column("doc_id"), pa.nulls(k, pa.int64())], names)
                 n += k
-        os.replace(part, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([size])], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"file string, ordinal long, doc_id {kind if kind == 'bigint' else 'long'}, bytes long")
@@ -70,7 +82,10 @@ def _scan(width: int):
     def run(batches):
         for batch in batches:
             for file, at, end in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "end"))):
-                ids = np.fromfile(file, f"<u{width}", (end - at) // width, offset=at)
+                folder, _, name = file.rpartition("/")
+                files, path = storage(folder)
+                with files.open_input_file(f"{path}/{name}") as source:
+                    ids = np.frombuffer(source.read_at((end - at) // width * width, at), f"<u{width}")
                 stop = np.flatnonzero(ids == END)
                 n = len(ids)
                 head, tail = (stop[0], n - stop[-1] - 1) if len(stop) else (n, n)
@@ -98,7 +113,7 @@ def count_tokens(files: DataFrame, block_bytes: int = BLOCK_BYTES, width: int =
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat files of its encoded texts."""
-    folder = f"{local_path(shared_dir(spark))}/tokens-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     written = checkpointed(write_tokens(table(spark, sf_dir, "documents"), folder))
     counts = count_tokens(written.where("ordinal = -1").select("file", "bytes"))
     return written.where("ordinal >= 0").join(counts.hint("merge"), ["file", "ordinal"], "left").select("doc_id", "n_tokens")
