@@ -24,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
     "op4_substrings": suffix_tree.SQL,
+    "op5_suffix_array": lyndon.SQL,
     "op7_embeddings": embeddings.SQL,
 }
