@@ -111,3 +111,34 @@ def search(elements: DataFrame, query: str, semantic=None, limit: int = 10) -> t
         except Exception as e:  # noqa: BLE001  whatever a provider raises
             lane, reason = "lexical", f"{type(e).__name__}: degraded to the lexical lane"
     return lane, reason, lexical_search(elements, query, limit)
+
+
+WEIGHTS = {"dependencies": 0.2, "dependents": 0.3, "coverage": 0.2, "complexity": 0.1, "semantic": 0.2}
+
+
+def rerank(results: DataFrame, strategy: str = "general", weights: dict[str, float] | None = None, most: float = 2.0, least: float = 0.0) -> DataFrame:
+    """``results`` (id, score, dependencies, dependents, coverage in percent, complexity, exported) with ``original`` and ``boost``, best first, ties by id.
+
+    Only the semantic weight is taken as a share of all weights; the graph's and the quality's count as given, and an unknown
+    factor counts nothing. The strategy multiplies, the boost is at most ``most``, and a score below ``least`` becomes 0, as does one that
+    wasn't positive.
+    """
+    w = WEIGHTS | (weights or {})
+    total = sum(w.values())
+    if not 0 < total < float("inf"):
+        raise ValueError(f"ranking weights must sum to a positive number, not {total}")
+    known = lambda c, of: F.when(F.col(c).isNotNull(), of(F.col(c))).otherwise(0.0)
+    share = lambda c, m: known(c, lambda x: F.least(x / m, F.lit(1.0)))
+    graph = share("dependencies", 10.0) * w["dependencies"] + share("dependents", 10.0) * w["dependents"]
+    quality = known("coverage", lambda x: x / 100.0) * w["coverage"] - share("complexity", 20.0) * w["complexity"]
+    extra = {
+        "centrality": known("dependents", lambda x: x / 100.0),
+        "usage": known("dependents", lambda x: x / 50.0),
+        "quality": (known("coverage", lambda x: x / 100.0) + F.greatest(F.lit(0.0), 1 - known("complexity", lambda x: x / 20.0))) / 2,
+        "public": F.when(F.coalesce("exported", F.lit(False)), 0.3).otherwise(0.0),
+    }.get(strategy, F.lit(0.0))
+    new = (F.col("score") * w["semantic"] / total + graph + quality) * (1 + extra)
+    positive = F.coalesce(F.col("score") > 0, F.lit(False))
+    x = results.withColumn("original", F.col("score")).withColumn("boost", F.when(positive, F.least(new / F.col("score"), F.lit(most))).otherwise(1.0))
+    boosted = F.when(positive, F.col("original") * F.col("boost")).otherwise(0.0)
+    return x.withColumn("score", F.when(boosted < least, 0.0).otherwise(boosted)).orderBy(F.desc("score"), "id")

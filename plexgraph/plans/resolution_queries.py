@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import classify
 from ..functions.text import half_up
-from ..operators import analytics, clones, graph
+from ..operators import analytics, clones, graph, signatures
 from ..sources import projections as p
 
 @query("g11_type_hierarchy", "WITH RECURSIVE s AS (SELECT p_partkey AS sub, p_partkey // 4 AS sup FROM part WHERE p_partkey > 3), r(id, depth) AS (SELECT CAST(5 AS BIGINT), 0 UNION SELECT sub, depth + 1 FROM r JOIN s ON sup = id WHERE depth < 10) SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY id HAVING min(depth) > 0")
@@ -84,12 +84,30 @@ def a24(spark, d):
     return x.groupBy(F.coalesce("quality", F.lit(-1)).alias("status")).agg(F.count("*").alias("docs"), F.count_if(F.col("toxic") == 0).alias("clean"))
 
 
-@query("d05_signature_changes", "SELECT p_partkey, CASE WHEN p_size % 7 < p_size % 5 THEN 'param_added' WHEN p_size % 7 > p_size % 5 THEN 'param_removed' WHEN p_partkey % 9 = 4 THEN 'return_type' WHEN p_partkey % 8 = 2 THEN 'visibility' END AS change FROM part WHERE p_size % 7 <> p_size % 5 OR p_partkey % 9 = 4 OR p_partkey % 8 = 2")
+@query(
+    "d05_signature_changes",
+    """
+WITH x AS (SELECT p_partkey AS k, p_partkey % 4 AS n, p_partkey % 5 AS m, p_size % 3 AS f FROM part)
+SELECT k, CASE WHEN m > n AND f <> 2 THEN 'added' WHEN m < n THEN 'removed' WHEN n > 0 AND f = 1 THEN 'reordered' WHEN n > 0 AND k % 7 = 0 THEN 'type-changed' END AS parameters,
+  CASE WHEN (m > n AND f <> 2) OR m < n OR (n > 0 AND (f = 1 OR k % 7 = 0)) THEN 'signature' WHEN k % 11 = 0 THEN 'return' WHEN k % 3 = 0 THEN 'visibility' END AS change FROM x""",
+)
 def d05(spark, d):
-    """The first difference of two signatures by priority."""
-    k, s = F.col("p_partkey"), F.col("p_size")
-    change = F.when(s % 7 < s % 5, "param_added").when(s % 7 > s % 5, "param_removed").when(k % 9 == 4, "return_type").when(k % 8 == 2, "visibility")
-    return p.read(spark, d, "part").select("p_partkey", change.alias("change")).where("change is not null")
+    """The first difference of two signatures: parameters, then return type, then visibility.
+
+    Before: k % 4 parameters; after: k % 5, new ones optional for f = 2, names changed for f = 1, types for every seventh.
+    """
+    k, f = F.col("p_partkey"), F.col("p_size") % 3
+    one = lambda i, name, kind, opt: F.struct(F.concat(F.lit(name), i.cast("string")).alias("name"), kind.alias("type"), opt.alias("optional"))
+    many = lambda n, make: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), make)
+    none = F.array().cast(signatures.PARAMETERS)
+    before = F.when(k % 4 == 0, none).otherwise(many(k % 4, lambda i: one(i, "p", F.lit("int"), F.lit(False))))
+    name = lambda i: F.concat(F.when(f == 1, "q").otherwise("p"), i.cast("string"))
+    after = F.when(k % 5 == 0, none).otherwise(many(k % 5, lambda i: F.struct(name(i).alias("name"), F.when(k % 7 == 0, "text").otherwise("int").alias("type"), (f == 2).alias("optional"))))
+    side = lambda p_, r, e: F.struct(p_.alias("parameters"), r.alias("returns"), e.alias("exported"))
+    b = side(before, F.lit(None).cast("string"), F.lit(True))
+    a = side(after, F.when(k % 11 == 0, "text").otherwise("void"), k % 3 != 0)
+    x = p.read(spark, d, "part").select(k.alias("k"), b.alias("b"), a.alias("a"))
+    return x.select("k", signatures.parameter_change(F.col("b.parameters"), F.col("a.parameters")).alias("parameters"), signatures.signature_change(F.col("b"), F.col("a")).alias("change"))
 
 
 @query("d07_route_impact", "SELECT page_id, greatest(0, least(100, 50 + CASE page_id % 4 WHEN 0 THEN 0 ELSE 20 END + CASE WHEN len(string_split(url, '/')) <= 5 THEN 15 WHEN len(string_split(url, '/')) >= 7 THEN -10 ELSE 0 END + 3 * (page_id % 5))) AS impact FROM pages")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions import classify
+from ..functions import classify, tags
 from ..functions import text as t
 from ..operators import retrieval as r
 from ..sources import markdown
@@ -38,16 +38,31 @@ def w09(spark, d):
     return markdown.sections(p.read(spark, d, "documents").select(F.col("doc_id"), headed.alias("content")), "doc_id").select("doc_id", F.col("line").alias("start"), "slug", "lines")
 
 
-@query("s16_tag_parser", r"WITH x AS (SELECT doc_id, '@' || upper(substr(lang, 1, 2)) || '/' || source || '/f' || (doc_id % 9) || '#n' || doc_id || ':' || (doc_id % 50) || '{q=' || (doc_id % 3) || '}' AS ref FROM documents) SELECT doc_id, regexp_extract(ref, '^@([A-Z][A-Za-z0-9]*)/', 1) AS type, regexp_extract(ref, '^@[A-Z][A-Za-z0-9]*/([^#:{]+)', 1) AS path, regexp_extract(ref, '#([^:{]+)', 1) AS element, CAST(regexp_extract(ref, ':([0-9]+)', 1) AS INT) AS line, regexp_extract(ref, '\{q=([^}]*)\}', 1) AS q FROM x")
-def s16(spark, d):
-    """Tag references @Type/path#element:line{k=v} taken apart."""
+_REFS = """refs AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'Fn/no-at' WHEN 1 THEN '@fn/lower' WHEN 2 THEN '@Fn/' WHEN 3 THEN '@Fn/src/a.ts#' WHEN 4 THEN '@Fn/src/a.ts:x' WHEN 5 THEN '@Fn/src/a.ts{open'
+  WHEN 6 THEN '@Fn/src/f' || doc_id || '.ts#run:' || (doc_id % 50) || '-' || (doc_id % 50 + 4) || '{status=''ok'', q=' || doc_id || '}' ELSE ' @Zz/src/f' || doc_id || '.ts:try{b1} ' END AS ref FROM documents)"""
+
+
+def _refs(spark, d):
     i = F.col("doc_id")
     s = lambda c: c.cast("string")
-    ref = F.concat(F.lit("@"), F.upper(F.substring("lang", 1, 2)), F.lit("/"), "source", F.lit("/f"), s(i % 9), F.lit("#n"), s(i), F.lit(":"), s(i % 50), F.lit("{q="), s(i % 3), F.lit("}"))
-    x = p.read(spark, d, "documents").select("doc_id", ref.alias("ref"))
-    g = lambda pattern: F.regexp_extract("ref", pattern, 1)
-    meta = F.str_to_map(g(r"\{([^}]*)\}"), F.lit(","), F.lit("="))
-    return x.select("doc_id", g("^@([A-Z][A-Za-z0-9]*)/").alias("type"), g("^@[A-Z][A-Za-z0-9]*/([^#:{]+)").alias("path"), g("#([^:{]+)").alias("element"), g(":([0-9]+)").cast("int").alias("line"), meta["q"].alias("q"))
+    whole = F.concat(F.lit("@Fn/src/f"), s(i), F.lit(".ts#run:"), s(i % 50), F.lit("-"), s(i % 50 + 4), F.lit("{status='ok', q="), s(i), F.lit("}"))
+    forms = [F.lit(x) for x in ("Fn/no-at", "@fn/lower", "@Fn/", "@Fn/src/a.ts#", "@Fn/src/a.ts:x", "@Fn/src/a.ts{open")] + [whole, F.concat(F.lit(" @Zz/src/f"), s(i), F.lit(".ts:try{b1} "))]
+    return p.read(spark, d, "documents").select("doc_id", F.element_at(F.array(*forms), (i % 8 + 1).cast("int")).alias("ref"))
+
+
+@query(
+    "s16_tag_parser",
+    f"""
+WITH {_REFS} SELECT doc_id, CASE WHEN doc_id % 8 = 6 THEN 'Fn' WHEN doc_id % 8 = 7 THEN 'Zz' END AS type, CASE WHEN doc_id % 8 >= 6 THEN 'src/f' || doc_id || '.ts' END AS path, CASE WHEN doc_id % 8 = 6 THEN 'run' END AS element,
+  CAST(CASE WHEN doc_id % 8 = 6 THEN doc_id % 50 END AS INT) AS line, CAST(CASE WHEN doc_id % 8 = 6 THEN doc_id % 50 + 4 END AS INT) AS line_end, CASE WHEN doc_id % 8 = 7 THEN 'try' END AS block, CASE WHEN doc_id % 8 = 7 THEN 'b1' END AS block_id,
+  CASE WHEN doc_id % 8 = 6 THEN 'ok' END AS status, CASE WHEN doc_id % 8 = 6 THEN CAST(doc_id AS VARCHAR) END AS q,
+  CASE doc_id % 8 WHEN 0 THEN 'no_at' WHEN 1 THEN 'type' WHEN 2 THEN 'path' WHEN 3 THEN 'element' WHEN 4 THEN 'line' WHEN 5 THEN 'unclosed_metadata' END AS error FROM refs""",
+)
+def s16(spark, d):
+    """References taken apart, and what is wrong with those that aren't."""
+    x = _refs(spark, d).select("doc_id", tags.parse(F.col("ref")).alias("p"))
+    meta = lambda k: F.try_element_at(F.col("p.metadata"), F.lit(k)).alias(k)
+    return x.select("doc_id", *[f"p.{c}" for c in ("type", "path", "element", "line", "line_end", "block", "block_id")], meta("status"), meta("q"), "p.error")
 
 
 @query("p09_docstrings", f"WITH {EL} SELECT kind, count(*) AS n, count(*) FILTER (regexp_matches(body, '^[A-Z]')) AS documented, round(count(*) FILTER (regexp_matches(body, '^[A-Z]')) * 1.0 / count(*), 6) AS ratio FROM elements GROUP BY kind")
@@ -131,14 +146,25 @@ def t06(spark, d):
     return r.fuse([r.bm25(_texts(spark, d), _TERMS, 40), r.vector_search(e, q, 40)], 10)
 
 
-@query("t11_rerank", "WITH x AS (SELECT vec_id AS id, abs(embedding[1]) AS score, vec_id % 13 AS deps, vec_id % 29 AS dependents, (vec_id % 10) / 10.0 AS coverage, vec_id % 17 AS complexity FROM embeddings), y AS (SELECT id, score, score * 0.2 + least(deps / 10.0, 1.0) * 0.2 + least(dependents / 20.0, 1.0) * 0.3 + coverage * 0.2 + (1 - least(complexity / 20.0, 1.0)) * 0.1 AS s FROM x) SELECT id, round(least(s, score * 2), 6) AS score FROM y ORDER BY 2 DESC, id LIMIT 20")
-def t11(spark, d):
-    """Weighted graph factors over the first score, a boost of at most two."""
+_RANKED = "x AS (SELECT vec_id AS id, abs(CAST(embedding[1] AS DOUBLE)) AS s, vec_id % 13 AS d, vec_id % 29 AS t, CAST(vec_id % 101 AS DOUBLE) AS c, vec_id % 37 AS k, vec_id % 3 = 0 AS e FROM embeddings)"
+_FACTORS = "s * 0.2 + least(d / 10.0, 1.0) * 0.2 + least(t / 10.0, 1.0) * 0.3 + c / 100.0 * 0.2 - least(k / 20.0, 1.0) * 0.1"
+
+
+def _ranked(spark, d):
     i = F.col("vec_id")
-    x = p.read(spark, d, "embeddings").select(i.alias("id"), F.abs(F.col("embedding")[0].cast("double")).alias("score"), (i % 13).alias("deps"), (i % 29).alias("dependents"), (i % 10 / 10.0).alias("coverage"), (i % 17).alias("complexity"))
-    cap = lambda c, m: F.least(F.col(c) / m, F.lit(1.0))
-    s = F.col("score") * 0.2 + cap("deps", 10.0) * 0.2 + cap("dependents", 20.0) * 0.3 + F.col("coverage") * 0.2 + (1 - cap("complexity", 20.0)) * 0.1
-    return x.select("id", F.round(F.least(s, F.col("score") * 2), 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    return p.read(spark, d, "embeddings").select(i.alias("id"), F.abs(F.col("embedding")[0].cast("double")).alias("score"), (i % 13).alias("dependencies"), (i % 29).alias("dependents"), (i % 101).cast("double").alias("coverage"), (i % 37).alias("complexity"), (i % 3 == 0).alias("exported"))
+
+
+@query("t11_rerank", f"WITH {_RANKED}, y AS (SELECT id, s, ({_FACTORS}) * (1 + (c / 100.0 + greatest(0, 1 - k / 20.0)) / 2) AS n FROM x) SELECT id, round(CASE WHEN s > 0 THEN greatest(0, least(n, s * 2)) ELSE 0 END, 6) AS score FROM y")
+def t11(spark, d):
+    """Every hit reranked by graph and quality factors, for a question about quality."""
+    return r.rerank(_ranked(spark, d), "quality").select("id", F.round("score", 6).alias("score"))
+
+
+@query("t11_rerank_public", f"WITH {_RANKED}, y AS (SELECT id, s, ({_FACTORS}) * (1 + CASE WHEN e THEN 0.3 ELSE 0 END) AS n FROM x), z AS (SELECT id, CASE WHEN s > 0 THEN least(n, s * 2) ELSE 0 END AS score FROM y) SELECT id, round(CASE WHEN score < 0.1 THEN 0 ELSE score END, 6) AS score FROM z")
+def t11_public(spark, d):
+    """The same for a question about the public surface, small scores dropped to nothing."""
+    return r.rerank(_ranked(spark, d), "public", least=0.1).select("id", F.round("score", 6).alias("score"))
 
 
 _ASKED = "(SELECT text AS q FROM conversations UNION ALL SELECT p_name || ' ' || ['who uses it', 'exported', 'tested', 'key part', 'the rest'][CAST(p_partkey % 5 + 1 AS INT)] FROM part)"
@@ -270,10 +296,10 @@ def r10(spark, d):
     return x.join(x.where("page_id % 2 = 0").select("ref").distinct(), "ref", "left_anti").groupBy("ref").agg(F.count("*").alias("n"))
 
 
-@query("r09_tag_validation", "SELECT CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'type' WHEN NOT regexp_matches(source, '^src[0-9]$') THEN 'path' WHEN n_chars > 5000 THEN 'element' ELSE 'ok' END AS verdict, count(*) AS n FROM documents GROUP BY 1")
+@query("r09_tag_validation", f"WITH {_REFS} SELECT CASE doc_id % 8 WHEN 0 THEN 'no_at' WHEN 1 THEN 'type' WHEN 2 THEN 'path' WHEN 3 THEN 'element' WHEN 4 THEN 'line' WHEN 5 THEN 'unclosed_metadata' WHEN 6 THEN 'ok' ELSE 'unknown_type' END AS verdict, count(*) AS n FROM refs GROUP BY 1")
 def r09(spark, d):
-    v = F.when(~F.col("lang").isin("en", "fr", "de"), "type").when(~F.col("source").rlike("^src[0-9]$"), "path").when(F.col("n_chars") > 5000, "element").otherwise("ok")
-    return p.read(spark, d, "documents").groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
+    """What a validator says of each reference."""
+    return _refs(spark, d).groupBy(tags.verdict(F.col("ref")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
 @query("r19_layer_of_path", "SELECT CASE WHEN p_type LIKE '%STEEL%' THEN 'core' WHEN p_type LIKE '%BRASS%' THEN 'service' WHEN p_name LIKE '%green%' THEN 'ui' END AS layer, lower(regexp_replace(trim(p_type), '[^A-Za-z0-9]+', '-', 'g')) AS capability, count(*) AS n FROM part GROUP BY 1, 2")
