@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import interval
+from ..operators import clones, interval
 from ..sources import projections as p
 
 C, EL = p.SQL_COMMITS, p.SQL_ELEMENTS
@@ -24,9 +24,12 @@ _PAIRS = f"f AS (SELECT DISTINCT hash, file FROM commits), s AS (SELECT hash, fi
 def co_changes(commits, cap: int = CAP):
     """Pairs of files by commits that hold both; commits of more than ``cap`` files are skipped, as the feature asks.
 
-    The files of a commit are at most ``cap``, so each commit's pairs come from its own sorted array without a self join.
+    A commit's files are counted before any are gathered, so each commit's pairs come from its own sorted array of at most
+    ``cap`` without a self join.
     """
-    files = commits.groupBy("hash").agg(F.array_sort(F.collect_set("file")).alias("f")).where(F.size("f").between(2, cap))
+    one = commits.select("hash", "file").distinct()
+    few = one.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n").between(2, cap)).select("hash")
+    files = one.join(few, "hash", "left_semi").groupBy("hash").agg(F.array_sort(F.collect_list("file")).alias("f"))  # at most ``cap`` files
     pairs = F.flatten(F.transform("f", lambda a, i: F.transform(F.slice("f", i + 2, F.lit(cap)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return files.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("together"))
 
@@ -52,10 +55,13 @@ def a14(spark, d):
     return x.join(known, ["a", "b"], "left_anti")
 
 
-@query("a15_clone_groups", f"WITH {EL} SELECT kind, loc, count(*) AS members, min(doc_id) AS first_doc FROM elements GROUP BY kind, loc HAVING count(*) >= 2")
+@query("a15_clone_groups", "SELECT CASE p_partkey % 2 WHEN 0 THEN 'function' ELSE 'method' END AS kind, 'f' || p_partkey % 97 AS name, CAST(p_size % 3 AS INT) AS arity, count(*) AS members, min(p_partkey) AS first FROM part GROUP BY p_partkey % 2, p_partkey % 97, p_size % 3, p_partkey % 5 HAVING count(*) >= 2")
 def a15(spark, d):
-    """Structural clones: same kind and size."""
-    return p.elements(spark, d).groupBy("kind", "loc").agg(F.count("*").alias("members"), F.min("doc_id").alias("first_doc")).where("members >= 2")
+    """Structural clones: same kind, name, parameters and imports."""
+    k = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    e = p.read(spark, d, "part").select(k.alias("id"), F.when(k % 2 == 0, "function").otherwise("method").alias("kind"), F.concat(F.lit("f"), s(k % 97)).alias("name"), F.slice(F.array(F.lit("a"), F.lit("b")), 1, F.col("p_size") % 3).alias("parameters"), F.array(F.concat(F.lit("m"), s(k % 5)), F.lit("x")).alias("imports"))
+    return clones.structural_groups(e).select("kind", "name", "arity", "members", "first")
 
 
 _BODY = "regexp_replace(trim(body), '[ \\t\\n\\r]+', ' ', 'g')"
@@ -131,13 +137,19 @@ def w04(spark, d):
     return x.where("k = 1").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("own", "fallback").alias("discount"))
 
 
-@query("w10_rank_changes", "WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r1, row_number() OVER (ORDER BY c_acctbal + (c_custkey % 7) * 100 DESC, c_custkey) AS r2 FROM customer WHERE c_nationkey = 3) SELECT count(*) AS n, count(*) FILTER (r1 <> r2) AS moved, count(*) FILTER (abs(r1 - r2) >= 3) AS significant, CAST(max(abs(r1 - r2)) AS BIGINT) AS furthest FROM a")
+@query(
+    "w10_rank_changes",
+    """
+WITH a AS (SELECT c_nationkey AS query, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r1, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal + (c_custkey % 7) * 100 DESC, c_custkey) AS r2 FROM customer)
+SELECT query, count(*) AS n, count(*) FILTER (r1 <> r2) AS moved, count(*) FILTER (abs(r1 - r2) >= 3) AS significant, CAST(max(abs(r1 - r2)) AS BIGINT) AS furthest FROM a GROUP BY 1""",
+)
 def w10(spark, d):
-    """How ranks change under another score, among the hits of one query."""
-    hits = p.read(spark, d, "customer").where("c_nationkey = 3")
-    one = Window.partitionBy("c_nationkey")
-    x = hits.select((F.row_number().over(one.orderBy(F.desc("c_acctbal"), "c_custkey")) - F.row_number().over(one.orderBy((F.col("c_acctbal") + F.col("c_custkey") % 7 * 100).desc(), "c_custkey"))).cast("long").alias("by"))
-    return x.agg(F.count("*").alias("n"), F.count_if(F.col("by") != 0).alias("moved"), F.count_if(F.abs("by") >= 3).alias("significant"), F.max(F.abs("by")).alias("furthest"))
+    """How ranks change under another score, among the hits of each query."""
+    one = Window.partitionBy("query")
+    hits = p.read(spark, d, "customer").select(F.col("c_nationkey").alias("query"), "c_acctbal", "c_custkey")
+    by = F.row_number().over(one.orderBy(F.desc("c_acctbal"), "c_custkey")) - F.row_number().over(one.orderBy((F.col("c_acctbal") + F.col("c_custkey") % 7 * 100).desc(), "c_custkey"))
+    x = hits.select("query", by.cast("long").alias("by"))
+    return x.groupBy("query").agg(F.count("*").alias("n"), F.count_if(F.col("by") != 0).alias("moved"), F.count_if(F.abs("by") >= 3).alias("significant"), F.max(F.abs("by")).alias("furthest"))
 
 
 # snapshots: parts before and after
