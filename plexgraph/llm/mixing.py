@@ -7,7 +7,8 @@ keep a rate near one unless their domains call for more or less.
 
 A rate depends on its own posterior and on the residuals of all steps so far, a few numbers a step. Each step is therefore
 one pass over the narrow table of tokens and posteriors, from which the driver gets one sum per domain; no rates
-are collected or kept between steps, and a lost executor's part is simply worked out again.
+are collected or kept between steps, and a lost executor's part is simply worked out again. Where texts are kept, they are not
+part of that table: they are read and classified once more when their rates are known.
 
 The classifier is a linear model on mean hashed word features, fitted on at most ``MAX_EXAMPLES`` labelled rows (the
 smallest hashes of doc_id). Everything else covers all documents and whole texts.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, LOWER, checkpointed, span_hashes, spans, table, text_chunks
+from .common import LETTERS, LOWER, checkpointed, give_back, span_hashes, spans, table, text_chunks
 
 MAX_EXAMPLES, BUCKETS, ROUNDS, STEPS, CLOSE, STALL = 4000, 1 << 14, 150, 60, 1e-7, 1e-4
 TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
@@ -99,13 +100,13 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column |
     return DomainClassifier([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"]), domains.index(r.domain)) for r in got], len(domains))
 
 
-def memberships(docs: DataFrame, classifier: DomainClassifier, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with n_tokens (words) and the posteriors p of every row."""
+def memberships(docs: DataFrame, classifier: DomainClassifier, keep: list[str], rated=None) -> DataFrame:
+    """The columns ``keep`` with n_tokens (words) and the posteriors p of every row; ``rated``: what adds rate and shortfall to them."""
     model = docs.sparkSession.sparkContext.broadcast(classifier)
     read = docs.select(*dict.fromkeys([*keep, "text"]))
     kinds = dict(read.dtypes)
 
-    def run(batches):
+    def scored(batches):
         classifier = model.value
         for batch in batches:
             for i, j, buf, off in text_chunks(batch.column("text")):
@@ -113,8 +114,13 @@ def memberships(docs: DataFrame, classifier: DomainClassifier, keep: list[str])
                 p = classifier.posteriors(a, b, first)
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(np.diff(first)), pa.array(p.tolist(), pa.list_(pa.float64()))], [*keep, "n_tokens", "p"])
+        give_back()
+
+    run = scored if rated is None else lambda batches: rated(scored(batches))
+    return read.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long, p array<double>", *[_RATED] * (rated is not None)]))
+
 
-    return read.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long, p array<double>"]))
+_RATED = "rate double, shortfall double"
 
 
 def _rates(p: np.ndarray, history: list[tuple[np.ndarray, float]], step: float, look: float) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +191,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: lis
     domains = list(targets)
     keep = [c for c in keep if c not in ("n_tokens", "p", "rate", "shortfall")]
     classifier = fit(docs if source is None else source, labels, domains)
-    members = checkpointed(memberships(docs, classifier, keep))
+    wide = "text" in keep
+    members = checkpointed(memberships(docs, classifier, [] if wide else keep))
     history, step, left = solve(members, list(targets.values()))
     kinds = dict(members.dtypes)
 
@@ -196,7 +203,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], keep: lis
                 rate = np.where(batch.column("n_tokens").to_numpy() > 0, rate, 1.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate), pa.array(np.full(len(rate), left))], [*batch.schema.names, "rate", "shortfall"])
 
-    return members.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in members.columns), "rate double, shortfall double"]))
+    if wide:
+        return memberships(docs, classifier, keep, run)
+    return members.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in members.columns), _RATED]))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,14 +18,13 @@ repeated documents each get a row; columns named like the results are replaced;
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, LOWER, checkpointed, ranges, span_hashes, spans, table, text_chunks
+from .common import LETTERS, LOWER, checkpointed, give_back, ranges, span_hashes, spans, table, text_chunks
 
 MAX_EXAMPLES, FLOOR, NEIGHBOURS, SHRINK, BLOCK = 6000, 0.02, 15, 0.5, 64
 #: Plans of the search, without effect on results: dense lists at most, and how many examples of DENSE they have at least;
@@ -211,6 +210,25 @@ class BlockMaxIndex:
         return scores, evidence
 
 
+class Model:
+    """A fitted model. A Python worker makes its index once and holds it with the broadcast value, so it goes when Spark drops that."""
+
+    def __init__(self, vocab, idf, ids, labels, size, term, tf):
+        self.vocab, self.idf, self._parts, self._index = vocab, idf, (ids, labels, size, term, tf), None
+
+    def index(self) -> BlockMaxIndex:
+        if self._index is None:
+            ids, labels, size, term, tf = self._parts
+            ptr = np.r_[0, np.cumsum(size)]
+            w = np.zeros(len(term), np.float32)
+            for a in range(0, len(size), 256):  # in pieces, for the sake of memory
+                b = min(a + 256, len(size))
+                w[ptr[a] : ptr[b]] = _weights(ptr[a : b + 1] - ptr[a], term[ptr[a] : ptr[b]], tf[ptr[a] : ptr[b]].astype(np.int64), self.idf)
+            vectors = [(term[x:y], w[x:y]) for x, y in zip(ptr, ptr[1:])]
+            self._index, self._parts = BlockMaxIndex(ids.tolist(), labels.tolist(), vectors, len(self.vocab)), None
+        return self._index
+
+
 def examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """The bounded sample of labelled training rows: doc_id, text, toxic."""
     rows = labels.where("toxic is not null and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 5 != 0")
@@ -219,8 +237,8 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # at most max_examples narrow rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES):
-    """What :func:`_load` makes an index of: a name, the vocabulary, its weights, and of every example id, label and terms.
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
+    """The model of the labelled rows: the vocabulary, its weights, and of every example id, label and terms.
 
     Its size is bounded by the texts of ``max_examples`` rows.
     """
@@ -242,25 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES):
     term = np.frombuffer(b"".join(rows.column("terms").to_pylist()), np.int32)
     tf = np.frombuffer(b"".join(rows.column("tf").to_pylist()), np.int32)
     narrow = tf.astype(np.uint8) if tf.max(initial=0) < 256 else tf
-    return uuid.uuid4().hex, vocab, idf, rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy(), size, term, narrow
-
-
-_READY: dict[str, tuple] = {}
-
-
-def _load(model) -> tuple[np.ndarray, np.ndarray, BlockMaxIndex]:
-    """Vocabulary, weights and index of a fitted model; a Python worker builds them once."""
-    name, vocab, idf, ids, labels, size, term, tf = model
-    if name not in _READY:
-        _READY.clear()
-        ptr = np.r_[0, np.cumsum(size)]
-        w = np.zeros(len(term), np.float32)
-        for a in range(0, len(size), 256):  # in pieces, for the sake of memory
-            b = min(a + 256, len(size))
-            w[ptr[a] : ptr[b]] = _weights(ptr[a : b + 1] - ptr[a], term[ptr[a] : ptr[b]], tf[ptr[a] : ptr[b]].astype(np.int64), idf)
-        vectors = [(term[x:y], w[x:y]) for x, y in zip(ptr, ptr[1:])]
-        _READY[name] = vocab, idf, BlockMaxIndex(ids.tolist(), labels.tolist(), vectors, len(vocab))
-    return _READY[name]
+    return Model(vocab, idf, rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy(), size, term, narrow)
 
 
 def score(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None, keep: tuple[str, ...] | None = None, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -273,7 +273,8 @@ def score(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None, k
     read = docs.select(*dict.fromkeys([*names, "text"]))
 
     def run(batches):
-        vocab, idf, index = _load(model.value)
+        vocab, idf, index = model.value.vocab, model.value.idf, model.value.index()
+        give_back()
         for batch in batches:
             for i, j, buf, off in text_chunks(batch.column("text")):
                 ptr, term, tf = _terms(buf, off, vocab)

@@ -108,3 +108,21 @@ def test_very_long_pages_and_empty_ones(spark):
     got = html_text.extract(spark.createDataFrame([(1, "u", long), (1, "u", None)], "page_id long, url string, html string")).collect()
     assert sorted(r.n_chars for r in got) == [0, 40_000 * 23 - 1 + 0]
     assert F is not None
+
+
+def test_the_mixing_stage_keeps_no_copy_of_the_texts(spark, tmp_path):
+    """Its steps read a narrow table: what it writes to the shared folder is far less than the texts."""
+    from pathlib import Path
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))) for i in range(500)]
+    df = docs(spark, rows)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("part-*"))
+    before = size()
+    got = mixing.stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in got} == dict(rows)
+    assert all(r.n_tokens == 400 for r in got)
+    assert size() - before < sum(len(t) for _, t in rows) / 10

@@ -68,3 +68,22 @@ def test_the_stage_keeps_columns_of_clashing_names(spark, tmp_path):
     assert {(r.evidence, r.score) for r in got} == {("mine", 0.25), ("none", None)}
     held = toxicity.op9_toxicity(spark, str(tmp_path))
     assert held.where("held_out is null").count() == 0
+
+
+def test_workers_drop_the_index_with_its_broadcast(spark):
+    """Python workers live on after the query; the index of the examples doesn't stay in them."""
+    df = spark.createDataFrame([(i, f"word{i % 7} other{i % 3}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.score(df, labels).count() == 100
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        n = sum(type(x).__name__ == "BlockMaxIndex" for x in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
