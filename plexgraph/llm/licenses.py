@@ -1,13 +1,13 @@
 """Licence scan by ordered signature rules, in DataFrame functions only; one narrow pass without a shuffle.
 
-Each rule is a regular expression with a label, a priority and a keyword. A cheap alternation gates whole texts, the
-keyword gates each rule, and only then its expression runs over the whole lower-cased text. Detections are intervals;
+Each rule is a regular expression with a label, a priority and a keyword that all of its matches hold. A cheap alternation of what
+matches hold gates whole texts, the keyword gates each rule, and only then its expression runs over the whole text, A-Z lower-cased. Detections are intervals;
 sorted by start, longer and higher priority first, one fold keeps those not contained in an interval of higher
 priority, or in a longer one of their own. Cost per row is linear in its text, and a sort and a few hundred copies a detection.
 
-Besides the rules, three base phrases are counted as consecutive words.
+Besides the rules, three base phrases are counted as consecutive words, and the words of every text.
 
-Defined results: null and empty texts have no places and no labels (score 0); every input row gives one row, so repeated
+Defined results: null and empty texts have no words, no places and no labels (score 0); every input row gives one row, so repeated
 rows repeat; equal intervals of one priority all stay; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -17,14 +17,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .decontaminate import let, words
+from .decontaminate import NO_WORD, ascii_lower, let, words
 
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 SCORES = {3: 0.99, 2: 0.9, 1: 0.6}
 
-#: Label, keyword, hand-written name; each gives a tagged form, a grant form and the bare name.
+#: Label, keyword (in all that the name matches), hand-written name; each gives a tagged form, a grant form and the bare name.
 _NAMES = r"""
-mit|mit|(?:mit|expat|x11) licen[sc]e
+mit|mit|mit licen[sc]e
+mit|expat|expat licen[sc]e
+mit|x11|x11 licen[sc]e
 mit-0|mit|mit no attribution
 apache-1.0|apache|apache (?:software )?licen[sc]e,? (?:version |v\.? ?)?1\.0
 apache-1.1|apache|apache (?:software )?licen[sc]e,? (?:version |v\.? ?)?1\.1
@@ -42,7 +44,8 @@ gpl-3.0|general public|(?:gnu )?general public licen[sc]e,? (?:version |v\.? ?)3
 gpl|general public|gnu general public licen[sc]e
 gpl-2.0|gpl|gpl[ -]?v?2(?:\.0)?(?:[ -](?:only|or[ -]later)|\+)?
 gpl-3.0|gpl|gpl[ -]?v?3(?:\.0)?(?:[ -](?:only|or[ -]later)|\+)?
-lgpl-2.0|lesser|(?:library|lesser) general public licen[sc]e,? (?:version |v\.? ?)2(?:\.0)?
+lgpl-2.0|lesser|lesser general public licen[sc]e,? (?:version |v\.? ?)2(?:\.0)?
+lgpl-2.0|library|library general public licen[sc]e,? (?:version |v\.? ?)2(?:\.0)?
 lgpl-2.1|lesser|lesser general public licen[sc]e,? (?:version |v\.? ?)2\.1
 lgpl-3.0|lesser|lesser general public licen[sc]e,? (?:version |v\.? ?)3
 lgpl|lesser|(?:gnu )?lesser general public licen[sc]e
@@ -98,7 +101,7 @@ gfdl-1.3|free documentation|free documentation licen[sc]e,? version 1\.3
 gfdl|free documentation|(?:gnu )?free documentation licen[sc]e
 llama-2|llama 2|llama 2 community licen[sc]e
 llama-3|llama 3|(?:meta )?llama 3(?:\.\d)? community licen[sc]e
-openrail|openrail|(?:bigscience|creativeml)?[ -]?open ?rail(?:-[ms]{1,2})?(?: licen[sc]e)?
+openrail|rail|(?:bigscience|creativeml)?[ -]?open ?rail(?:-[ms]{1,2})?(?: licen[sc]e)?
 bigscience-rail|bigscience|bigscience (?:bloom )?rail licen[sc]e
 cecill-2.1|cecill|cecill(?:-[bc])?(?: (?:free software )?licen[sc]e)?
 sleepycat|sleepycat|sleepycat licen[sc]e
@@ -126,7 +129,7 @@ _FORMS = r"""
 2|mit|without restriction|to deal in the software without restriction
 3|isc|permission to use|permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose
 3|bsd|redistribution and use|redistribution and use in source and binary forms,? with or without modification
-2|bsd-3-clause|endorse|neither the name of [^.]{1,80} nor the names of its contributors
+2|bsd-3-clause|neither the name|neither the name of [^.]{1,80} nor the names of its contributors
 2|bsd-4-clause|advertising|all advertising materials mentioning features
 3|zlib|as-is|this software is provided 'as-is',? without any express or implied warranty
 3|gpl|free software|this (?:program|library|file) is free software[;:,]? you can redistribute it
@@ -136,7 +139,7 @@ _FORMS = r"""
 3|unlicense|public domain|free and unencumbered software released into the public domain
 2|public-domain|public domain|(?:released|placed|dedicated|is) (?:in|into|to) the public domain
 1|public-domain|public domain|public domain
-3|wtfpl|what the f|everyone is permitted to copy and distribute verbatim or modified
+3|wtfpl|everyone is|everyone is permitted to copy and distribute verbatim or modified
 2|warranty-disclaimer|as is|provided [\"']?as is[\"']?,? without warranty of any kind
 2|copyright|copyright|copyright (?:\(c\)|©)? ?(?:19|20)\d\d(?:[-, ]+(?:19|20)\d\d)*
 1|copyright|copyright|copyright
@@ -144,7 +147,7 @@ _FORMS = r"""
 2|cc0-1.0|cc0|cc0(?:[ -]1\.0)?(?: universal)?
 2|cc-by-nc-nd|noncommercial|attribution[ -]noncommercial[ -]noderiv(?:ative)?s?
 2|cc-by-nc-sa|noncommercial|attribution[ -]noncommercial[ -]sharealike
-2|cc-by-nc|noncommercial|attribution[ -]non-?commercial
+2|cc-by-nc|commercial|attribution[ -]non-?commercial
 2|cc-by-sa|sharealike|attribution[ -]sharealike
 2|cc-by-nd|noderiv|attribution[ -]noderiv(?:ative)?s?
 3|cc|creative commons|licen[sc]ed under (?:a |the )?creative commons
@@ -177,7 +180,7 @@ def rules() -> list[tuple[str, int, str, str]]:
 
 
 #: What every text that a rule or a base phrase can match holds, in any case of A-Z.
-GATE = r"(?i)(?:licen[sc]|gpl|copyright|public domain|creative ?commons|spdx|permission |redistribution|as[ -]is|warrant|all rights|endorse|advertising|free software|cc0|wtfpl|commons clause|proprietary|bsd|unlicen|rail|cecill|mulan|nasa open|what the f|mit no attribution|noncommercial|sharealike|noderiv|without restriction|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by)"
+GATE = r"(?i)(?:licen[sc]|gpl|copyright|public domain|creative ?commons|spdx|permission |redistribution|as[ -]is|warrant|all rights|neither the name|everyone is|advertising|free software|cc0|wtfpl|commons clause|proprietary|bsd|unlicen|rail|cecill|mulan|nasa open|what the f|mit no attribution|non-?commercial|sharealike|noderiv|without restriction|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by)"
 
 
 def _rule_array() -> Column:
@@ -261,20 +264,26 @@ def _base(w: Column) -> Column:
     )
 
 
+def count_words(text: Column) -> Column:
+    """How many words a text has; none for null."""
+    parts = F.split(F.coalesce(text, F.lit("")), NO_WORD)
+    return let(parts, lambda x: F.size(x) - (x[0] == "").cast("int") - ((F.size(x) > 1) & (F.element_at(x, -1) == "")).cast("int")).cast("long")
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id with base places, labels and score of every row."""
+    """doc_id with the number of words, base places, labels and score of every row."""
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("z"), F.array().cast("array<string>").alias("labels"))
     hit = F.coalesce(F.col("text").rlike(GATE), F.lit(False))
-    rows = docs.select("doc_id", F.when(hit, F.struct(_base(words(F.col("text"))).alias("b"), let(F.lower("text"), detections).alias("d"))).alias("x"))
+    rows = docs.select("doc_id", count_words(F.col("text")).alias("n_words"), F.when(hit, F.struct(_base(words(F.col("text"))).alias("b"), let(ascii_lower(F.col("text")), detections).alias("d"))).alias("x"))
     b, d = F.coalesce("x.b", none), F.col("x.d")
     rule = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in SCORES.items() for v in kv]), d["best"]), F.lit(0.0))
     return rows.select(
-        "doc_id", b["n"].alias("n_base"), b["a"].alias("first_word"), b["z"].alias("last_word"), F.array_join(b["labels"], ",").alias("base_labels"),
+        "doc_id", "n_words", b["n"].alias("n_base"), b["a"].alias("first_word"), b["z"].alias("last_word"), F.array_join(b["labels"], ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(b["labels"], F.coalesce(d["labels"], F.array().cast("array<string>")))), ",").alias("labels"),
         F.greatest(F.when(b["n"] > 0, 0.95).otherwise(0.0), rule).alias("score"),
     )
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence phrases, labels and score of every document."""
+    """Words, licence phrases, labels and score of every document."""
     return scan(table(spark, sf_dir, "documents"))

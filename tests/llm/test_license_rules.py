@@ -63,3 +63,33 @@ def test_very_many_matches_take_seconds(spark):
     got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
     assert got[1] == "copyright"
     assert time.monotonic() - began < 60
+
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def test_words_of_every_text_are_counted(spark):
+    rows = [(1, "no such phrase here"), (2, "under the mit license"), (3, None), (4, ""), (5, " ,; "), (6, "é ß -x- A_b9\tz."), (7, "a " * 50_000), (8, "K-1 one"), (9, " under"), (10, "cc\x00by nc ")]
+    got = {r.doc_id: r.n_words for r in licenses.scan(docs(spark, rows)).collect()}
+    assert got == {i: len(WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))) for i, t in rows}
+
+
+FORMS = [
+    "Expat License", "released under the X11 license", "GNU Library General Public License version 2", "Open RAIL licence", "everyone is permitted to copy and distribute verbatim or modified copies",
+    "Attribution Non-Commercial", "Neither the name of the owner nor the names of its contributors may be used", "MIT License", "attribution-noncommercial",
+]
+
+
+def test_keywords_and_the_gate_leave_no_rule_out(spark):
+    """Every rule's matches count, whatever other words the text holds."""
+    got = {r.doc_id: r.labels for r in licenses.scan(docs(spark, list(enumerate(FORMS)))).collect()}
+    for i, t in enumerate(FORMS):
+        found = [(m.start(), m.end(), p, label) for label, p, _, r in RULES for m in r.finditer(t.lower())]
+        kept = {label for s, e, p, label in found if not any((s2, e2) != (s, e) and s2 <= s and e2 >= e and p2 >= p or (s2, e2) == (s, e) and p2 > p for s2, e2, p2, _ in found)}
+        assert kept
+        assert set(got[i].split(",")) == kept
+
+
+def test_only_a_to_z_are_lower_cased(spark):
+    got = licenses.scan(docs(spark, [(1, "the blue oaK model license"), (2, "the Blue Oak model license")])).collect()
+    assert {r.doc_id: "blueoak-1.0.0" in r.labels for r in got} == {1: False, 2: True}
