@@ -8,9 +8,10 @@ list, asymmetric distances come from a table of the query's distances to the 256
 candidate unless its distance exceeds r by more than its own error. Neither step can lose a pair, whatever the data.
 Candidates are reranked by the exact cosine in double precision.
 
-Equal vectors collapse to one row with a count. A list's queries and vectors are cut into blocks, and each pair of blocks is
-a group of bounded size, so a list that holds a third of all vectors is many groups, and no pair ever leaves one:
-only link counts and spanning links do. There are about as many lists as the square root of the vectors (``LISTS`` to
+Equal vectors collapse to one row with a count. Vectors are written once, to files of bounded size that hold whole lists, or blocks of
+one that is larger. A task reads pairs of files and compares what the vectors of one find in the lists of the other, so
+vectors are never copied to the lists that they probe and no pair ever leaves a task: only link counts and spanning
+links do. The files go when all pairs are read. There are about as many lists as the square root of the vectors (``LISTS`` to
 ``MOST_LISTS``). Centroids and codes are fitted on at most ``SAMPLE`` vectors or eight a list, the smallest hashes of their
 values; vectors of each length have an index of their own.
 
@@ -27,15 +28,19 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.dataset import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, give_back, shared_dir, table
 from .components import components, local_components
+from .token_counts import storage
 
 COSINE, SUBSPACES, CODES, SAMPLE, LISTS, MOST_LISTS = 0.9, 8, 256, 8192, 256, 4096
-#: Queries and vectors of a group, rows compared at once, and comparisons of a task.
-ASKED, STORED, BLOCK, WORK = 4096, 4096, 512, 100_000_000
+#: Rows compared at once, and comparisons of a task.
+BLOCK, WORK = 512, 100_000_000
+#: About how many files the vectors fill, and the least and most vectors of one.
+FILES, LEAST_HELD, MOST_HELD = 48, 4096, 65_536
 _SLACK = 1e-6
 
 
@@ -130,46 +135,70 @@ def _load(model) -> Quantizer:
     return _READY[name]
 
 
-def _compare(model, cosine: float):
+class _Held:
+    """The vectors of a file, in order of their lists."""
+
+    def __init__(self, folder: str, file: int, dimensions: int):
+        found, path = storage(folder)
+        t = dataset(f"{path}/file={file}", filesystem=found, format="parquet").to_table(columns=["node", "n", "vector", "own", "code", "error", "mask"])
+        t = t.take(np.argsort(t.column("own").to_numpy(), kind="stable"))
+        rows = len(t)
+        flat = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(rows, -1)
+        self.node, self.n, self.own, self.error = (t.column(c).to_numpy() for c in ("node", "n", "own", "error"))
+        self.vector, self.code, self.mask = _unpacked(t.column("vector"), dimensions), flat("code"), np.unpackbits(flat("mask"), axis=1)
+        self.unit, self.length = _unit(self.vector), np.sqrt((self.vector**2).sum(axis=1))
+
+
+def _compare(model, cosine: float, folder: str):
+    """For rows (i, j) of files: what the vectors of file j find in the lists that file i holds."""
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
 
-    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        quantizer = _load(model)
-        out: list[list[np.ndarray]] = [[], [], []]
-        if asked.num_rows and stored.num_rows:
-            which, d = asked.column("list")[0].as_py(), int(quantizer.cut[-1])
-            q, qn, x, xn = (t.column(c).to_numpy() for t, c in ((asked, "node"), (asked, "n"), (stored, "of"), (stored, "count")))
-            own, qv, xv = asked.column("own").to_numpy(), _unpacked(asked.column("vector"), d), _unpacked(stored.column("data"), d)
-            code = np.frombuffer(b"".join(stored.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
-            error = stored.column("error").to_numpy()
-            mask = np.unpackbits(np.frombuffer(b"".join(stored.column("mask").to_pylist()), np.uint8).reshape(len(x), -1), axis=1)
-            qu, q_length, x_length = _unit(qv), np.sqrt((qv**2).sum(axis=1)), np.sqrt((xv**2).sum(axis=1))
-            links = [np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)]
-            tied = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-            for i in range(0, len(q), BLOCK):
-                for j in range(0, len(x), BLOCK):
-                    near = quantizer.distances(qu[i : i + BLOCK], which, code[j : j + BLOCK]) <= radius + error[j : j + BLOCK] + _SLACK
-                    a, b = np.nonzero(near & (q[i : i + BLOCK, None] != x[j : j + BLOCK]))
-                    a, b = a + i, b + j
-                    for k in range(0, len(a), 1 << 16):
-                        u, v = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                        hit = (qv[u] * xv[v]).sum(axis=1) / (q_length[u] * x_length[v]) >= cosine
+    def meet(quantizer: Quantizer, asked: _Held, stored: _Held) -> pa.RecordBatch:
+        q, x = asked.node, stored.node
+        links = [np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)]
+        tied = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        begin = np.flatnonzero(np.r_[True, stored.own[1:] != stored.own[:-1]])
+        for lo, hi in zip(begin, np.r_[begin[1:], len(x)]):
+            which = int(stored.own[lo])
+            asking = np.flatnonzero(asked.mask[:, which])
+            for i in range(0, len(asking), BLOCK):
+                k = asking[i : i + BLOCK]
+                for j in range(lo, hi, BLOCK):
+                    end = min(j + BLOCK, hi)
+                    near = quantizer.distances(asked.unit[k], which, stored.code[j:end]) <= radius + stored.error[j:end] + _SLACK
+                    a, b = np.nonzero(near & (q[k, None] != x[j:end]))
+                    a, b = k[a], b + j
+                    for m in range(0, len(a), 1 << 16):
+                        u, v = a[m : m + (1 << 16)], b[m : m + (1 << 16)]
+                        hit = (asked.vector[u] * stored.vector[v]).sum(axis=1) / (asked.length[u] * stored.length[v]) >= cosine
                         u, v = u[hit], v[hit]
-                        links[0] += np.bincount(u, xn[v], len(q)).astype(np.int64)
-                        alone = mask[v, own[u]] == 0  # the other end doesn't probe this one's list
-                        links[1] += np.bincount(v[alone], qn[u[alone]], len(x)).astype(np.int64)
+                        if not len(u):
+                            continue
+                        links[0] += np.bincount(u, stored.n[v], len(q)).astype(np.int64)
+                        alone = stored.mask[v, asked.own[u]] == 0  # the other end doesn't probe this one's list
+                        links[1] += np.bincount(v[alone], asked.n[u[alone]], len(x)).astype(np.int64)
                         tied = [np.r_[tied[0], u], np.r_[tied[1], len(q) + v]]
                         if len(tied[0]) > 1 << 20:  # spanning links say as much
                             root = local_components(len(q) + len(x), *tied)
                             tied[0] = np.flatnonzero(root != np.arange(len(root)))
                             tied[1] = root[tied[0]]
-            ids = np.r_[q, x]
-            hit = np.flatnonzero(np.r_[links[0], links[1]])
-            root = local_components(len(ids), *tied)
-            held = np.flatnonzero(ids != ids[root])
-            out = [[ids[hit], ids[held]], [np.r_[links[0], links[1]][hit], np.zeros(len(held), np.int64)], [np.full(len(hit), -1), ids[root[held]]]]
-        a, n, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
-        return pa.table({"a": a, "n": n, "b": b})
+        ids, counts = np.r_[q, x], np.r_[links[0], links[1]]
+        hit = np.flatnonzero(counts)
+        root = local_components(len(ids), *tied)
+        held = np.flatnonzero(ids != ids[root])
+        out = np.r_[ids[hit], ids[held]], np.r_[counts[hit], np.zeros(len(held), np.int64)], np.r_[np.full(len(hit), -1), ids[root[held]]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "n", "b"])
+
+    def run(batches):
+        quantizer = _load(model)
+        last, stored = None, None
+        for batch in batches:
+            for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist()):
+                if i != last:
+                    stored = None
+                    last, stored = i, _Held(folder, i, int(quantizer.cut[-1]))
+                yield meet(quantizer, stored if i == j else _Held(folder, j, int(quantizer.cut[-1])), stored)
+        give_back()
 
     return run
 
@@ -193,32 +222,36 @@ def _index(classes: DataFrame, size: int, cosine: float, lists: int, sample: int
                 row, which = quantizer.probes(x, margin)
                 mask = np.zeros((len(x), len(quantizer.coarse)), np.uint8)
                 mask[row, which] = 1
-                begin = np.searchsorted(row, np.arange(len(x) + 1))
-                probes = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(which.astype(np.int32)))
                 whole = lambda m: pa.array([c.tobytes() for c in m], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), batch.column("n"), pa.array(_packed(raw), pa.binary()), pa.array(own.astype(np.int32)), whole(codes), pa.array(error), whole(np.packbits(mask, axis=1)), probes],
-                    ["node", "n", "vector", "own", "code", "error", "mask", "probes"],
+                    [batch.column("node"), batch.column("n"), pa.array(_packed(raw), pa.binary()), pa.array(own.astype(np.int32)), whole(codes), pa.array(error), whole(np.packbits(mask, axis=1)), pa.array(mask.sum(axis=1, dtype=np.int64))],
+                    ["node", "n", "vector", "own", "code", "error", "mask", "asks"],
                 )
 
-    coded = classes.select("node", "n", "v").mapInArrow(assign, "node long, n long, vector binary, own int, code binary, error double, mask binary, probes array<int>")
+    coded = classes.select("node", "n", "v").mapInArrow(assign, "node long, n long, vector binary, own int, code binary, error double, mask binary, asks long")
     coded = checkpointed(coded)
-    q = coded.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("q"))
-    cells = q.join(coded.groupBy(F.col("own").alias("list")).agg(F.count("*").alias("s")), "list")
-    cells = checkpointed(cells.select("list", "q", "s", F.ceil(F.col("q") / ASKED).alias("qb"), F.ceil(F.col("s") / STORED).alias("sb")))  # at most ``lists`` rows
-    work = cells.agg(F.sum(F.col("q").cast("double") * F.col("s"))).first()[0] or 0.0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / WORK))
-    keys, cells = ["list", "qblock", "sblock"], F.broadcast(cells.drop("q", "s"))
-
-    def block(side: str, other: str) -> list:
-        return [F.pmod(F.xxhash64("node"), F.col(side)).alias(f"{side[0]}block"), F.explode(F.expr(f"sequence(0L, {other} - 1)")).alias(f"{other[0]}block")]
-
-    asked = coded.select("node", "n", "vector", "own", F.explode("probes").alias("list")).join(cells, "list").select("list", *block("qb", "sb"), "node", "n", "vector", "own")
-    stored = coded.withColumnRenamed("own", "list").join(cells, "list").select("list", *block("sb", "qb"), F.col("node").alias("of"), F.col("n").alias("count"), F.col("vector").alias("data"), "code", "error", "mask")
-    asked = asked.repartition(parts, *keys)
-    stored = stored.withColumnsRenamed({k: f"s_{k}" for k in keys})
-    stored = stored.repartition(parts, *stored.columns[:3])
-    return checkpointed(asked.groupBy(*keys).cogroup(stored.groupBy(*stored.columns[:3])).applyInArrow(_compare(model, cosine), "a long, n long, b long"))
+    own = coded.groupBy("own").agg(F.count("*").alias("s"), F.sum("asks").alias("asks")).collect()  # at most ``lists`` rows
+    rows = sum(r.s for r in own)
+    most = min(MOST_HELD, max(LEAST_HELD, rows // FILES))
+    named, files, room = [], 0, 0  # lists fill files in turn; one that is larger is cut into several by the vectors' hashes
+    for r in sorted(own):
+        if r.s > room:
+            files, room = files + max(1, math.ceil(r.s / most)), most if r.s <= most else 0
+        blocks = max(1, math.ceil(r.s / most))
+        named.append((r.own, files - blocks, blocks))
+        room = max(0, room - r.s)
+    where = F.broadcast(spark.createDataFrame(named, "own int, first long, blocks long"))
+    folder = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    coded.join(where, "own").withColumn("file", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("first", "blocks", "asks").write.partitionBy("file").parquet(folder)
+    there = sorted(r.file for r in spark.read.parquet(folder).select(F.col("file").cast("int").alias("file")).distinct().collect())  # a row a file
+    work = rows / max(1, len(quantizer.coarse)) * sum(r.asks for r in own)
+    parts = min(len(there) ** 2, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / WORK)))
+    held = F.array(*map(F.lit, there))
+    pairs = spark.range(0, len(there) ** 2, 1, parts).select(F.element_at(held, (F.floor(F.col("id") / len(there)) + 1).cast("int")).alias("i"), F.element_at(held, (F.col("id") % len(there) + 1).cast("int")).alias("j"))
+    found = checkpointed(pairs.mapInArrow(_compare(model, cosine, folder), "a long, n long, b long"))
+    place, path = storage(folder)
+    place.delete_dir(path)
+    return found
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, lists: int | None = None, sample: int = SAMPLE) -> DataFrame:

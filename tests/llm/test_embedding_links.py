@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plexgraph.llm import embeddings
 
@@ -61,3 +62,20 @@ def test_odd_vectors(spark):
     got = embeddings.near_duplicates(df, lists=5).collect()
     assert key((r.vec_id, r.n_links, r.component_id) for r in got) == key(want)
     assert all(r.kept == (r.component_id is None or r.vec_id == r.component_id) for r in got)
+
+
+@pytest.mark.parametrize(("least", "most"), [(50, 50), (4096, 65_536)])
+def test_vectors_are_not_copied_to_the_lists_they_probe(spark, monkeypatch, least, most):
+    """Links are whole when lists are cut into several files, and what is compared is read from files, not shuffled."""
+    monkeypatch.setattr(embeddings, "LEAST_HELD", least)
+    monkeypatch.setattr(embeddings, "MOST_HELD", most)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6, 16))[rng.integers(0, 6, 300)] + 0.25 * rng.normal(size=(300, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    classes = df.select(F.col("embedding").alias("v"), F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("n"))
+    seen = []
+    monkeypatch.setattr(embeddings, "checkpointed", lambda d: seen.append(d._jdf.queryExecution().optimizedPlan().toString()) or d.checkpoint(eager=True))
+    embeddings._index(classes, 16, 0.9, 20, 300)
+    assert not any("CoGroup" in p for p in seen)
+    got = embeddings.near_duplicates(df, lists=20).collect()
+    assert key((r.vec_id, r.n_links, r.component_id) for r in got) == key(brute(list(range(300)), x)[0])
