@@ -28,8 +28,8 @@ from .common import LETTERS, LOWER, checkpointed, give_back, ranges, span_hashes
 
 MAX_EXAMPLES, FLOOR, NEIGHBOURS, SHRINK, BLOCK = 6000, 0.02, 15, 0.5, 64
 #: Plans of the search, without effect on results: dense lists at most, and how many examples of DENSE they have at least;
-#: queries and postings taken at once; what single precision may be off.
-COMMON, DENSE, QUERIES, POSTINGS, SLACK = 2048, 16, 128, 1 << 20, 2e-5
+#: queries taken at once, and postings within them; what single precision may be off.
+COMMON, DENSE, QUERIES, POSTINGS, SLACK = 2048, 16, 128, 1 << 17, 2e-5
 _PREFIXES = (4, 5, 6)
 
 
@@ -100,16 +100,36 @@ def _encode(words):
     return run
 
 
+def _alike(x: np.ndarray) -> np.ndarray:
+    """An order of the rows in which like ones stand together: halves, to whole blocks, along the axis of their largest spread."""
+    order = np.arange(len(x))
+    todo = [(0, len(x))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= BLOCK or not x.shape[1]:
+            continue
+        part = x[order[lo:hi]]
+        part -= part.mean(axis=0)
+        axis = part[np.argmax(np.einsum("ij,ij->i", part, part))]
+        for _ in range(4):
+            axis = (part @ axis) @ part
+            axis /= max(float(np.abs(axis).max()), 1e-30)
+        order[lo:hi] = order[lo:hi][np.argsort(part @ axis, kind="stable")]
+        mid = lo + BLOCK * max(1, round((hi - lo) / BLOCK / 2))
+        todo += [(lo, mid), (mid, hi)]
+    return order
+
+
 class BlockMaxIndex:
     """Inverted lists over distinct example vectors, in blocks of ``BLOCK`` with each list's largest weight in the block.
 
-    The ``COMMON`` longest lists are held dense, block by block, with their maxima; a block of them is visited only if the
-    maxima let it reach the k-th neighbour. The other lists are short and always added.
+    Vectors that are alike share a block. The ``COMMON`` longest lists are held dense, block by block, with their maxima; a block of
+    them is visited only if the maxima let it reach the k-th neighbour. The other lists are short and always added.
     """
 
     def __init__(self, doc_ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         ids, y = np.array(doc_ids, np.int64), np.array(labels, np.int64)
-        turn = np.lexsort((ids, y))  # like examples stand together, so that blocks differ
+        turn = np.lexsort((ids, y))
         self.ids, self.y = ids[turn], y[turn]
         entries: dict[bytes, list[int]] = {}
         for i, j in enumerate(turn.tolist()):
@@ -118,26 +138,32 @@ class BlockMaxIndex:
                 key = hashlib.blake2b(np.ascontiguousarray(t, np.int64).tobytes() + np.ascontiguousarray(w, np.float32).tobytes(), digest_size=16).digest()
                 entries.setdefault(key, []).append(i)
         members = list(entries.values())
-        self.members = np.array([i for m in members for i in m], np.int64)
-        self.first = np.r_[0, np.cumsum([len(m) for m in members], dtype=np.int64)]
         first = [vectors[turn[m[0]]] for m in members]
-        self.ptr = np.r_[0, np.cumsum([len(t) for t, _ in first], dtype=np.int64)]
-        self.term = np.concatenate([t for t, _ in first]).astype(np.int32) if first else np.zeros(0, np.int32)
-        self.weight = np.concatenate([w for _, w in first]).astype(np.float32) if first else np.zeros(0, np.float32)
+        size = np.array([len(t) for t, _ in first], np.int64)
+        term = np.concatenate([t for t, _ in first]).astype(np.int32) if first else np.zeros(0, np.int32)
         self.blocks = max(1, -(-len(first) // BLOCK))
         self.width = self.blocks * BLOCK
-        entry = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(self.ptr))
-        many = np.bincount(self.term, minlength=terms)
+        many = np.bincount(term, minlength=terms)
         long = np.flatnonzero(many * DENSE >= max(1, len(first)))
         long = np.sort(long[np.argsort(-many[long], kind="stable")[:COMMON]])
         self.slot = np.full(terms + 1, -1, np.int32)
         self.slot[long] = np.arange(len(long))
-        at = self.slot[self.term]
-        self.dense = np.zeros((self.blocks, len(long), BLOCK), np.float32)
-        held = at >= 0
-        self.dense[entry[held] // BLOCK, at[held], entry[held] % BLOCK] = self.weight[held]
+        common = np.zeros((self.width, len(long)), np.float32)
+        for i, (t, w) in enumerate(first):
+            at = self.slot[t]
+            common[i, at[at >= 0]] = w[at >= 0]
+        order = _alike(common[: len(first)])
+        self.members = np.array([i for m in order.tolist() for i in members[m]], np.int64)
+        self.first = np.r_[0, np.cumsum([len(members[m]) for m in order.tolist()], dtype=np.int64)]
+        self.ptr = np.r_[0, np.cumsum(size[order])]
+        self.term = term[ranges((np.cumsum(size) - size)[order], size[order])]
+        self.weight = np.concatenate([first[m][1] for m in order.tolist()]).astype(np.float32) if first else np.zeros(0, np.float32)
+        common[: len(first)] = common[order]
+        self.dense = np.ascontiguousarray(common.reshape(self.blocks, BLOCK, len(long)).transpose(0, 2, 1))
+        del common
         self.top = np.ascontiguousarray(self.dense.max(axis=2).T)  # of every common list the largest weight in every block
-        rest = np.flatnonzero(~held)
+        entry = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(self.ptr))
+        rest = np.flatnonzero(self.slot[self.term] < 0)
         rest = rest[np.argsort(self.term[rest], kind="stable")]
         self.doc, self.add = entry[rest], self.weight[rest]
         self.start = np.searchsorted(self.term[rest], np.arange(terms + 1))
@@ -149,22 +175,35 @@ class BlockMaxIndex:
     def search(self, ptr: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int):
         """Of every query (row pointers, terms, weights) its k nearest distinct vectors at least, with all that tie with the
         last, and their cosines in double precision; exact."""
-        size = (self.start[term + 1] - self.start[term]) if len(term) else np.zeros(0, np.int64)
-        work = np.r_[0, np.cumsum(size)][ptr]
-        lo, n = 0, len(ptr) - 1
-        while lo < n:
-            hi = min(lo + QUERIES, max(lo + 1, int(np.searchsorted(work, work[lo] + POSTINGS, "right")) - 1))
+        for lo in range(0, len(ptr) - 1, QUERIES):
+            hi = min(lo + QUERIES, len(ptr) - 1)
             yield from self._search(ptr[lo : hi + 1] - ptr[lo], term[ptr[lo] : ptr[hi]], weight[ptr[lo] : ptr[hi]], k)
+
+    def _short(self, row, term, weight, n: int) -> np.ndarray:
+        """What the short lists of n queries (rows, terms, weights) add to their scores, a few queries at a time."""
+        first = self.start[term]
+        count = self.start[term + 1] - first
+        at = np.searchsorted(row, np.arange(n + 1))
+        work = np.r_[0, np.cumsum(count)][at]
+        score = np.empty((n, self.width), np.float32)
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(work, work[lo] + POSTINGS, "right")) - 1)
+            a, b = at[lo], at[hi]
+            post = ranges(first[a:b], count[a:b])
+            cell = np.repeat((row[a:b] - lo) * self.width, count[a:b])
+            cell += self.doc[post]
+            add = np.repeat(weight[a:b], count[a:b])
+            add *= self.add[post]
+            score[lo:hi] = np.bincount(cell, add, (hi - lo) * self.width).reshape(hi - lo, self.width)
             lo = hi
+        return score
 
     def _search(self, ptr, term, weight, k):
         n, width = len(ptr) - 1, self.width
         row, slot = np.repeat(np.arange(n), np.diff(ptr)), self.slot[term]
         rare = np.flatnonzero(slot < 0)
-        first = self.start[term[rare]]
-        count = self.start[term[rare] + 1] - first
-        post = ranges(first, count)
-        score = np.bincount(np.repeat(row[rare] * width, count) + self.doc[post], np.repeat(weight[rare], count) * self.add[post], n * width).astype(np.float32).reshape(n, width)
+        score = self._short(row[rare], term[rare], weight[rare], n)
         query = np.zeros((n, self.dense.shape[1]), np.float32)
         query[row[slot >= 0], slot[slot >= 0]] = weight[slot >= 0]
         least = np.partition(score, width - k, axis=1)[:, width - k] if width > k else np.zeros(n, np.float32)
@@ -172,7 +211,9 @@ class BlockMaxIndex:
         visit = split.max(axis=2) + query @ self.top + SLACK >= least[:, None]
         for b in range(self.blocks):
             some = np.flatnonzero(visit[:, b])
-            if len(some):
+            if 4 * len(some) > 3 * n:  # the few others are cleared below
+                split[:, b] += query @ self.dense[b]
+            elif len(some):
                 split[some, b] += query[some] @ self.dense[b]
         split[~visit] = 0
         least = np.partition(score, width - k, axis=1)[:, width - k] if width > k else np.zeros(n, np.float32)
@@ -180,9 +221,14 @@ class BlockMaxIndex:
             near = np.flatnonzero((score[i] >= least[i] - SLACK) & (score[i] > 0))
             t = term[ptr[i] : ptr[i + 1]]
             self.room[t] = weight[ptr[i] : ptr[i + 1]]
-            begin, length = self.ptr[near], self.ptr[near + 1] - self.ptr[near]
-            at = ranges(begin, length)
-            cosine = np.add.reduceat(self.room[self.term[at]] * self.weight[at], np.cumsum(length) - length) if len(near) else np.zeros(0)
+            ends = list(zip(self.ptr[near].tolist(), self.ptr[near + 1].tolist()))
+            if ends:
+                product = self.room[np.concatenate([self.term[a:b] for a, b in ends])]
+                product *= np.concatenate([self.weight[a:b] for a, b in ends])
+                length = self.ptr[near + 1] - self.ptr[near]
+                cosine = np.add.reduceat(product, np.cumsum(length) - length)
+            else:
+                cosine = np.zeros(0)
             self.room[t] = 0
             yield near, cosine
 

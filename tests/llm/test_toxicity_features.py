@@ -87,3 +87,17 @@ def test_workers_drop_the_index_with_its_broadcast(spark):
             yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], ["n"])
 
     assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_most_blocks_hold_examples_of_one_kind(monkeypatch):
+    """Examples of four vocabularies that come in turn: few blocks mix them, so a query leaves the blocks of the others."""
+    monkeypatch.setattr(toxicity, "DENSE", 10**6)
+    rng = np.random.default_rng(8)
+    x = np.zeros((16 * toxicity.BLOCK, 160))
+    for i in range(len(x)):
+        x[i, 40 * (i % 4) + rng.permutation(40)[:20]] = rng.random(20) + 0.1
+    index = toxicity.BlockMaxIndex(list(range(len(x))), rng.integers(0, 2, len(x)).tolist(), [(np.flatnonzero(v).astype(np.int32), v[v > 0]) for v in x], 160)
+    kinds = (index.top.reshape(4, 40, index.blocks) > 0).any(axis=1)
+    assert index.blocks == 16
+    assert kinds.sum() < 1.5 * index.blocks
+    assert sorted(index.members.tolist()) == list(range(len(x)))
