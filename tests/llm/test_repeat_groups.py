@@ -82,3 +82,28 @@ def test_texts_of_one_hash_are_told_apart():
     first, cls = repeats.same_texts((np.zeros(4, np.int64),), buf, np.array([0, 3, 6, 9]), np.full(4, 3))
     assert cls[0] == cls[2] == cls[3] != cls[1]
     assert first[cls[0]] in (0, 2, 3)
+
+
+@pytest.mark.parametrize("module", [lyndon, suffix_tree])
+def test_buckets_are_solved_in_several_turns(monkeypatch, module):
+    """Whole groups at a time, a few bytes of text each: the same windows are found."""
+    solved = []
+    monkeypatch.setattr(repeats, "SOLVED", 300)
+    monkeypatch.setattr(repeats, "STEP", 64)
+    solve = module.solve
+    monkeypatch.setattr(module, "solve", lambda runs: solved.append(len(runs.buf)) or solve(runs))
+    rng = random.Random(11)
+    pool = [" ".join(f"w{rng.randrange(500)}" for _ in range(30)) for _ in range(12)]
+    texts = [" ".join(rng.choice(pool) if rng.random() < 0.5 else f"own{i}x{k} " * 6 for k in range(4)) for i in range(60)]
+    assert passes(module, texts) == brute(module, texts)
+    assert len(solved) > 30
+
+
+def test_parts_send_to_few_buckets(spark, monkeypatch):
+    """Rows between parts and buckets grow as their product: of 400 parts each sends to 50 buckets, not to 400."""
+    found = []
+    name = repeats._name_anchors
+    monkeypatch.setattr(repeats, "partitions_for", lambda *_: 100)
+    monkeypatch.setattr(repeats, "_name_anchors", lambda unit, buckets: found.append(buckets) or name(unit, buckets))
+    lyndon.deduplicate(spark.createDataFrame([(1, "a")], "doc_id long, text string"), ["doc_id"])
+    assert found == [50]
