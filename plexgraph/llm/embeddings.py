@@ -1,16 +1,16 @@
 """Embedding near-duplicates by product quantisation.
 
 Unit vectors go to the inverted list of their nearest coarse centroid with a code of their residual, one byte for each
-of eight subspaces, and the exact length of what the code leaves out. Two unit vectors of cosine c or more lie within
-``r = sqrt(2 - 2c)``, so one of them at least lies within ``r / 2`` of the plane that bisects their lists' centroids. Every vector
-probes all lists whose plane is that near: each pair is met from one end or both, and counted for both ends once. In a
-list, asymmetric distances come from a table of the query's distances to the 256 codes of each subspace; a code is a
-candidate unless its distance exceeds r by more than its own error. Neither step can lose a pair, whatever the data.
+of eight subspaces. Two unit vectors of cosine c or more lie within ``r = sqrt(2 - 2c)``, so of vectors in two lists the distances to
+the plane that bisects the lists' centroids sum to r at most. Of each two lists only vectors meet that can be so near together with the
+nearest of the other side, and each pair of vectors meets once. Where they meet, the cosine of one with the direction of the
+other's code comes from one matrix product in single precision; a pair is a candidate unless the angle exceeds that of c
+by more than the angle between the other vector and its code. Neither step can lose a pair, whatever the data.
 Candidates are reranked by the exact cosine in double precision.
 
 Equal vectors collapse to one row with a count. Vectors are written once, to files of bounded size that hold whole lists, or blocks of
-one that is larger. A task reads pairs of files and compares what the vectors of one find in the lists of the other, so
-vectors are never copied to the lists that they probe and no pair ever leaves a task: only link counts and spanning
+one that is larger. A task reads pairs of files, each pair once, and compares the vectors of their lists, so
+vectors are never copied to other lists and no pair ever leaves a task: only link counts and spanning
 links do. The files go when all pairs are read. There are about as many lists as the square root of the vectors (``LISTS`` to
 ``MOST_LISTS``). Centroids and codes are fitted on at most ``SAMPLE`` vectors or eight a list, the smallest hashes of their
 values; vectors of each length have an index of their own.
@@ -37,13 +37,20 @@ from .components import components, local_components
 from .token_counts import storage
 
 COSINE, SUBSPACES, CODES, SAMPLE, LISTS, MOST_LISTS = 0.9, 8, 256, 8192, 256, 4096
-#: Rows compared at once, and comparisons of a task.
-BLOCK, WORK = 512, 100_000_000
+#: Rows compared at once, by rows of the other side, and comparisons of a task.
+BLOCK, STEP, WORK = 512, 128, 100_000_000
+#: Doubles of vectors that are reranked at once.
+RERANKED = 1 << 22
 #: About how many files the vectors fill, and the least and most vectors of one.
 FILES, LEAST_HELD, MOST_HELD = 48, 4096, 65_536
 _SLACK = 1e-6
 
 
+def _rounding(dimensions: int) -> float:
+    """More than a product of two vectors of length 1 at most is off in single precision."""
+    return _SLACK + dimensions * 2.0**-23
+
+
 def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -101,15 +108,23 @@ class Quantizer:
         gap = d - d[np.arange(len(x)), own][:, None]
         return np.nonzero(gap <= 2 * self.apart[own] * (radius + _SLACK) + _SLACK)
 
-    def distances(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of the queries to the codes of a list, by table look-up."""
-        rest = queries - self.coarse[which]
-        out = np.zeros((len(queries), len(codes)))
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes in lists stand for."""
+        out = self.coarse[lists]
         for m, (a, b) in enumerate(zip(self.cut, self.cut[1:])):
-            book = self.books[m]
-            t = (rest[:, a:b] ** 2).sum(1)[:, None] + (book**2).sum(1) - 2 * rest[:, a:b] @ book.T
-            out += t[:, codes[:, m]]
-        return np.sqrt(np.maximum(0, out))
+            out[:, a:b] += self.books[m][codes[:, m]]
+        return out
+
+    def distances(self, queries: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric distances of the queries to the codes of a list."""
+        x = self.decode(np.full(len(codes), which), codes)
+        return np.sqrt(np.maximum(0, (queries**2).sum(1)[:, None] + (x**2).sum(1) - 2 * queries @ x.T))
+
+    def gaps(self, x: np.ndarray, own: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """By list and row of x: how much farther, in squared distance, the list's centroid is than that of the row's own list."""
+        c = self.coarse.astype(x.dtype)
+        size = (c * c).sum(1)
+        return size[lists][:, None] - 2 * c[lists] @ x.T - (size[own] - 2 * (c[own] * x).sum(axis=1))
 
 
 def _packed(x: np.ndarray) -> list[bytes]:
@@ -120,7 +135,11 @@ def _packed(x: np.ndarray) -> list[bytes]:
 
 
 def _unpacked(column, dimensions: int) -> np.ndarray:
-    return np.array([np.frombuffer(v, "<f4" if len(v) == 4 * dimensions else "<f8") for v in column.to_pylist()], np.float64).reshape(len(column), dimensions)
+    rows = column.to_pylist()
+    out, short = np.empty((len(rows), dimensions)), np.array([len(v) == 4 * dimensions for v in rows], bool)
+    for kind, which in (("<f4", short), ("<f8", ~short)):
+        out[which] = np.frombuffer(b"".join(rows[k] for k in np.flatnonzero(which)), kind).reshape(-1, dimensions)
+    return out
 
 
 _READY: dict[str, Quantizer] = {}
@@ -138,50 +157,83 @@ def _load(model) -> Quantizer:
 class _Held:
     """The vectors of a file, in order of their lists."""
 
-    def __init__(self, folder: str, file: int, dimensions: int):
+    def __init__(self, folder: str, file: int, quantizer: Quantizer):
         found, path = storage(folder)
-        t = dataset(f"{path}/file={file}", filesystem=found, format="parquet").to_table(columns=["node", "n", "vector", "own", "code", "error", "mask"])
+        t = dataset(f"{path}/file={file}", filesystem=found, format="parquet").to_table(columns=["node", "n", "vector", "own", "code"])
         t = t.take(np.argsort(t.column("own").to_numpy(), kind="stable"))
-        rows = len(t)
-        flat = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(rows, -1)
-        self.node, self.n, self.own, self.error = (t.column(c).to_numpy() for c in ("node", "n", "own", "error"))
-        self.vector, self.code, self.mask = _unpacked(t.column("vector"), dimensions), flat("code"), np.unpackbits(flat("mask"), axis=1)
-        self.unit, self.length = _unit(self.vector), np.sqrt((self.vector**2).sum(axis=1))
+        self.node, self.n, self.own = (t.column(c).to_numpy() for c in ("node", "n", "own"))
+        self.begin = np.flatnonzero(np.r_[True, self.own[1:] != self.own[:-1]])
+        self.end, self.lists = np.r_[self.begin[1:], len(self.own)], self.own[self.begin]
+        self.vector = _unpacked(t.column("vector"), int(quantizer.cut[-1]))
+        self.length = np.sqrt((self.vector**2).sum(axis=1))
+        unit = _unit(self.vector)
+        self.unit = unit.astype(np.float32)
+        seen = quantizer.decode(self.own, np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(t), -1))
+        seen /= np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-30)
+        #: Directions of the codes, and the angles between them and the vectors.
+        self.seen, self.off = seen.astype(np.float32), np.arccos(np.clip((unit * seen).sum(axis=1), -1, 1))
+
+
+def _meetings(quantizer: Quantizer, asked: _Held, stored: _Held, cosine: float):
+    """Blocks (rows of asked, rows of stored) in which each pair of vectors as near as ``cosine`` is met once; a file meets itself, too."""
+    slack = 10 * _rounding(int(quantizer.cut[-1]))
+    there, back = quantizer.gaps(asked.unit, asked.own, stored.lists), quantizer.gaps(stored.unit, stored.own, asked.lists)
+    nearest, reverse = np.minimum.reduceat(there, asked.begin, axis=1), np.minimum.reduceat(back, stored.begin, axis=1).T
+    # the gaps of both ends sum to 2 (y - x) (c' - c) for vectors x, y and the centroids c, c' of their lists
+    limit = 2 * quantizer.apart[np.ix_(stored.lists, asked.lists)] * math.sqrt(max(0.0, 2 - 2 * cosine)) + slack
+    open_ = nearest + reverse <= limit
+    if asked is stored:
+        open_ = np.tril(open_)
+    for s, a in zip(*np.nonzero(open_)):
+        lo, first = asked.begin[a], stored.begin[s]
+        g, h = there[s, lo : asked.end[a]], back[a, first : stored.end[s]]
+        u, v = np.argsort(g), np.argsort(h)
+        g, h = g[u], h[v]
+        u, v = lo + u[: np.searchsorted(g, limit[s, a] - h[0], "right")], first + v
+        for i in range(0, len(u), STEP):  # the farther these are, the fewer they can meet
+            end = int(np.searchsorted(h, limit[s, a] - g[i], "right"))
+            for j in range(0, end, BLOCK):
+                yield u[i : i + STEP], v[j : min(j + BLOCK, end)]
+
+
+def _candidates(quantizer: Quantizer, asked: _Held, stored: _Held, cosine: float):
+    """Rows (of asked, of stored) of pairs whose codes allow the cosine, some thousands at once."""
+    least = (np.cos(np.minimum(np.pi, stored.off + math.acos(max(-1.0, min(1.0, cosine))))) - _rounding(int(quantizer.cut[-1]))).astype(np.float32)
+    most = max(1, RERANKED // int(quantizer.cut[-1]))
+    held, size = [], 0
+    for u, v in _meetings(quantizer, asked, stored, cosine):
+        at = np.flatnonzero(asked.unit[u] @ stored.seen[v].T >= least[v])
+        if len(at):
+            pair = np.stack([u[at // len(v)], v[at % len(v)]])
+            held.append(pair[:, pair[0] > pair[1]] if asked is stored and asked.own[u[0]] == stored.own[v[0]] else pair)
+            size += held[-1].shape[1]
+        if size >= most:
+            whole = np.concatenate(held, axis=1)
+            yield from (whole[:, i : i + most] for i in range(0, size, most))
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held, axis=1)
 
 
 def _compare(model, cosine: float, folder: str):
-    """For rows (i, j) of files: what the vectors of file j find in the lists that file i holds."""
-    radius = math.sqrt(max(0.0, 2 - 2 * cosine))
+    """For rows (i, j) of files: links between the vectors of both."""
 
     def meet(quantizer: Quantizer, asked: _Held, stored: _Held) -> pa.RecordBatch:
         q, x = asked.node, stored.node
         links = [np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)]
         tied = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        begin = np.flatnonzero(np.r_[True, stored.own[1:] != stored.own[:-1]])
-        for lo, hi in zip(begin, np.r_[begin[1:], len(x)]):
-            which = int(stored.own[lo])
-            asking = np.flatnonzero(asked.mask[:, which])
-            for i in range(0, len(asking), BLOCK):
-                k = asking[i : i + BLOCK]
-                for j in range(lo, hi, BLOCK):
-                    end = min(j + BLOCK, hi)
-                    near = quantizer.distances(asked.unit[k], which, stored.code[j:end]) <= radius + stored.error[j:end] + _SLACK
-                    a, b = np.nonzero(near & (q[k, None] != x[j:end]))
-                    a, b = k[a], b + j
-                    for m in range(0, len(a), 1 << 16):
-                        u, v = a[m : m + (1 << 16)], b[m : m + (1 << 16)]
-                        hit = (asked.vector[u] * stored.vector[v]).sum(axis=1) / (asked.length[u] * stored.length[v]) >= cosine
-                        u, v = u[hit], v[hit]
-                        if not len(u):
-                            continue
-                        links[0] += np.bincount(u, stored.n[v], len(q)).astype(np.int64)
-                        alone = stored.mask[v, asked.own[u]] == 0  # the other end doesn't probe this one's list
-                        links[1] += np.bincount(v[alone], asked.n[u[alone]], len(x)).astype(np.int64)
-                        tied = [np.r_[tied[0], u], np.r_[tied[1], len(q) + v]]
-                        if len(tied[0]) > 1 << 20:  # spanning links say as much
-                            root = local_components(len(q) + len(x), *tied)
-                            tied[0] = np.flatnonzero(root != np.arange(len(root)))
-                            tied[1] = root[tied[0]]
+        for u, v in _candidates(quantizer, asked, stored, cosine):
+            hit = (asked.vector[u] * stored.vector[v]).sum(axis=1) / (asked.length[u] * stored.length[v]) >= cosine
+            u, v = u[hit], v[hit]
+            if not len(u):
+                continue
+            links[0] += np.bincount(u, stored.n[v], len(q)).astype(np.int64)
+            links[1] += np.bincount(v, asked.n[u], len(x)).astype(np.int64)
+            tied = [np.r_[tied[0], u], np.r_[tied[1], len(q) + v]]
+            if len(tied[0]) > 1 << 20:  # spanning links say as much
+                root = local_components(len(q) + len(x), *tied)
+                tied[0] = np.flatnonzero(root != np.arange(len(root)))
+                tied[1] = root[tied[0]]
         ids, counts = np.r_[q, x], np.r_[links[0], links[1]]
         hit = np.flatnonzero(counts)
         root = local_components(len(ids), *tied)
@@ -196,8 +248,8 @@ def _compare(model, cosine: float, folder: str):
             for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist()):
                 if i != last:
                     stored = None
-                    last, stored = i, _Held(folder, i, int(quantizer.cut[-1]))
-                yield meet(quantizer, stored if i == j else _Held(folder, j, int(quantizer.cut[-1])), stored)
+                    last, stored = i, _Held(folder, i, quantizer)
+                yield meet(quantizer, stored if i == j else _Held(folder, j, quantizer), stored)
         give_back()
 
     return run
@@ -218,17 +270,14 @@ def _index(classes: DataFrame, size: int, cosine: float, lists: int, sample: int
             if len(raw):
                 x = _unit(raw)
                 own = quantizer.nearest(x)
-                codes, error = quantizer.encode(x, own)
-                row, which = quantizer.probes(x, margin)
-                mask = np.zeros((len(x), len(quantizer.coarse)), np.uint8)
-                mask[row, which] = 1
-                whole = lambda m: pa.array([c.tobytes() for c in m], pa.binary())
+                codes, _ = quantizer.encode(x, own)
+                row, _ = quantizer.probes(x, margin)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), batch.column("n"), pa.array(_packed(raw), pa.binary()), pa.array(own.astype(np.int32)), whole(codes), pa.array(error), whole(np.packbits(mask, axis=1)), pa.array(mask.sum(axis=1, dtype=np.int64))],
-                    ["node", "n", "vector", "own", "code", "error", "mask", "asks"],
+                    [batch.column("node"), batch.column("n"), pa.array(_packed(raw), pa.binary()), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.bincount(row, minlength=len(x)))],
+                    ["node", "n", "vector", "own", "code", "asks"],
                 )
 
-    coded = classes.select("node", "n", "v").mapInArrow(assign, "node long, n long, vector binary, own int, code binary, error double, mask binary, asks long")
+    coded = classes.select("node", "n", "v").mapInArrow(assign, "node long, n long, vector binary, own int, code binary, asks long")
     coded = checkpointed(coded)
     own = coded.groupBy("own").agg(F.count("*").alias("s"), F.sum("asks").alias("asks")).collect()  # at most ``lists`` rows
     rows = sum(r.s for r in own)
@@ -245,9 +294,15 @@ def _index(classes: DataFrame, size: int, cosine: float, lists: int, sample: int
     coded.join(where, "own").withColumn("file", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("first", "blocks", "asks").write.partitionBy("file").parquet(folder)
     there = sorted(r.file for r in spark.read.parquet(folder).select(F.col("file").cast("int").alias("file")).distinct().collect())  # a row a file
     work = rows / max(1, len(quantizer.coarse)) * sum(r.asks for r in own)
-    parts = min(len(there) ** 2, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / WORK)))
+    m = len(there)
+    parts = min(m * (m + 1) // 2, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(work / WORK)))
     held = F.array(*map(F.lit, there))
-    pairs = spark.range(0, len(there) ** 2, 1, parts).select(F.element_at(held, (F.floor(F.col("id") / len(there)) + 1).cast("int")).alias("i"), F.element_at(held, (F.col("id") % len(there) + 1).cast("int")).alias("j"))
+    # a first file and the one as far from the end meet m + 1 files at or after them, together: as many in each row of pairs
+    row, column = F.floor(F.col("id") / (m + 1)).cast("int"), (F.col("id") % (m + 1)).cast("int")
+    fits = column < m - row
+    pairs = spark.range(0, (m + 1) // 2 * (m + 1), 1, parts).where(fits | (row != m - 1 - row))
+    pairs = pairs.select(F.when(fits, row).otherwise(m - 1 - row).alias("p"), F.when(fits, row + column).otherwise(column - 1).alias("q"))
+    pairs = pairs.select(F.element_at(held, F.col("p") + 1).alias("i"), F.element_at(held, F.col("q") + 1).alias("j"))
     found = checkpointed(pairs.mapInArrow(_compare(model, cosine, folder), "a long, n long, b long"))
     place, path = storage(folder)
     place.delete_dir(path)

@@ -1,6 +1,8 @@
 """Every link of the embeddings against brute force, where probes from one end alone would miss some."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,57 @@ def test_vectors_are_not_copied_to_the_lists_they_probe(spark, monkeypatch, leas
     assert not any("CoGroup" in p for p in seen)
     got = embeddings.near_duplicates(df, lists=20).collect()
     assert key((r.vec_id, r.n_links, r.component_id) for r in got) == key(brute(list(range(300)), x)[0])
+
+
+@pytest.mark.parametrize(("held", "odd"), [(75, False), (60, True), (1000, True)])
+def test_two_files_are_read_together_once(spark, monkeypatch, held, odd):
+    """Not once from either end; a file meets itself, too."""
+    monkeypatch.setattr(embeddings, "LEAST_HELD", held)
+    monkeypatch.setattr(embeddings, "MOST_HELD", held)
+
+    def told(model, cosine, folder):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("i").cast("int64"), pa.array([0] * len(b), "int64"), b.column("j").cast("int64")], ["a", "n", "b"])
+
+        return run
+
+    monkeypatch.setattr(embeddings, "_compare", told)
+    x = np.random.default_rng(9).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "node long, n long, v array<double>")
+    got = [(r.a, r.b) for r in embeddings._index(df, 300, 0.9, 1, 300).collect()]
+    files = sorted({f for p in got for f in p})
+    assert len(files) % 2 == odd
+    assert sorted(tuple(sorted(p)) for p in got) == [(a, b) for a in files for b in files if a <= b]
+
+
+def test_pairs_are_compared_once_and_fewer_with_more_lists(tmp_path):
+    """Random directions and close groups, in two files that share a list: no near pair is left out, next to none is reranked in vain."""
+    rng = np.random.default_rng(10)
+    x = np.r_[rng.normal(size=(1800, 24)), rng.normal(size=(20, 24))[rng.integers(0, 20, 400)] + 0.2 * rng.normal(size=(400, 24))]
+    unit = embeddings._unit(x)
+    near = np.triu(unit @ unit.T >= 0.9, 1)
+    met = {}
+    for lists in (4, 64):
+        quantizer = embeddings.Quantizer(unit, lists)
+        own = quantizer.nearest(unit)
+        codes, _ = quantizer.encode(unit, own)
+        rank = np.argsort(own, kind="stable")
+        for f, k in enumerate((rank[:900], rank[900:])):
+            (folder := tmp_path / f"{lists}/file={f}").mkdir(parents=True)
+            pq.write_table(pa.table({"node": k, "n": np.ones(len(k), np.int64), "vector": pa.array(embeddings._packed(x[k]), pa.binary()), "own": own[k].astype(np.int32), "code": pa.array([c.tobytes() for c in codes[k]], pa.binary())}), folder / "part.parquet")
+        held = [embeddings._Held(str(tmp_path / str(lists)), f, quantizer) for f in (0, 1)]
+        assert held[0].own[-1] == held[1].own[0]
+        times, found = np.zeros((len(x), len(x)), int), np.zeros((len(x), len(x)), int)
+        for a, b in ((0, 0), (1, 0), (1, 1)):
+            for u, v in embeddings._meetings(quantizer, held[a], held[b], 0.9):
+                times[np.ix_(held[a].node[u], held[b].node[v])] += 1
+            for u, v in embeddings._candidates(quantizer, held[a], held[b], 0.9):
+                np.add.at(found, (held[a].node[u], held[b].node[v]), 1)
+        same = own[:, None] == own
+        assert (times + times.T)[~same].max() == 1  # blocks of a list with itself hold both orders; candidates don't
+        assert (found + found.T).max() == 1
+        assert (found + found.T)[near].all()
+        assert found.sum() < 1.5 * near.sum()
+        met[lists] = times.sum()
+    assert met[64] < 0.8 * met[4]
