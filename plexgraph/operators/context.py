@@ -130,15 +130,15 @@ def compressed(text: Column) -> Column:
     return F.array_join(F.aggregate(F.split(text, "\n"), start, step)["kept"], "\n")
 
 
-def pack_context(focus: DataFrame, neighbours: DataFrame, budget: int = 8000) -> DataFrame:
+def pack_context(focus: DataFrame, neighbours: DataFrame, budget: int = 8000, full: bool = False) -> DataFrame:
     """(pack, id, rank, cost, spent, included) of blocks that fit a token budget.
 
     ``focus``: pack, id, source; its block always goes in. ``neighbours``: pack, id, rank, source; they follow by rank and id as compressed
-    source, and from the first one that doesn't fit on all are dropped. Each pack is a window of its own.
+    source (``full``: as it is), and from the first one that doesn't fit on all are dropped. Each pack is a window of its own.
     """
     head = lambda role, text: F.concat(F.lit("// === "), F.col("id"), F.lit(f" ({role}) ===\n"), text)
     f = focus.select("pack", "id", F.lit(0).alias("rank"), tokens(head("focus", F.col("source"))).alias("cost"), F.lit(True).alias("focus"))
-    n = neighbours.join(focus.select("pack", "id"), ["pack", "id"], "left_anti").select("pack", "id", F.col("rank").cast("int").alias("rank"), tokens(head("dependency", compressed(F.col("source")))).alias("cost"), F.lit(False).alias("focus"))
+    n = neighbours.join(focus.select("pack", "id"), ["pack", "id"], "left_anti").select("pack", "id", F.col("rank").cast("int").alias("rank"), tokens(head("dependency", F.col("source") if full else compressed(F.col("source")))).alias("cost"), F.lit(False).alias("focus"))
     w = Window.partitionBy("pack").orderBy(F.desc("focus"), "rank", "id").rowsBetween(Window.unboundedPreceding, 0)
     x = f.unionByName(n).withColumn("spent", F.sum("cost").over(w))
     over = F.max(F.when(~F.col("focus") & (F.col("spent") > budget), 1).otherwise(0)).over(w)
