@@ -24,3 +24,36 @@ def test_a_pack_that_is_just_full(spark, tmp_path):
     rows = [(1, 1, "user", "x" * 351), (1, 2, "user", "y"), (2, 1, "user", code), (2, 2, "user", "y"), (3, 1, "user", None), (3, 1, "user", "known"), (3, 2, "user", "y" * 300), (4, 1, "user", None), (4, 2, "user", "y"), (4, 0, "user", "z")]
     got = same_as_sql(spark, tmp_path, "t19_packed_context", {"conversations": ("conv_id long, turn long, role string, text string", rows)})
     assert got[:2] == ["(1, 1, 1)", "(2, 0, 2)"]
+
+
+def test_near_misses_shuffle_rare_tokens_only(spark):
+    import random
+    from collections import Counter
+
+    from plexgraph.operators import clones
+
+    draw = random.Random(7)
+    texts = [[draw.choice("abcdefghij") * draw.randint(1, 3) for _ in range(draw.randint(1, 60))] for _ in range(12)]
+    for t in list(texts):
+        for _ in range(4):
+            near = list(t)
+            for _ in range(draw.randint(0, 3)):
+                near[draw.randrange(len(near))] = draw.choice("abxyz")
+            texts.append(near)
+    texts += texts[:10] + [[], [""]]  # copies of whole elements
+    rows = [(i, "uv"[i % 2] if i % 9 else None, t) for i, t in enumerate(texts)] + [(7, "v", ["more"]), (900, "u", None)]
+    whole = {}
+    for i, bucket, t in rows:
+        if bucket and t is not None:
+            whole.setdefault((bucket, i), Counter()).update(t)
+    want = set()
+    for (p, i), x in whole.items():
+        for (q, j), y in whole.items():
+            if p == q and i < j and x and y:
+                s = round(2 * (x & y).total() / (x.total() + y.total()), 6)
+                if 0.9 <= s < 1:
+                    want.add((i, j, s))
+    found = clones.near_misses(spark.createDataFrame(rows, "id long, bucket string, tokens array<string>"), 0.9)
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+    assert "tokens" not in found._jdf.queryExecution().optimizedPlan().toString()
