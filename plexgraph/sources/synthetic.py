@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .projections import read
+from .projections import read, spread
 
 #: The same paths in SQL; ``k`` is the part's key.
 SQL_FILES = """
@@ -48,10 +48,14 @@ def _filled(template: str) -> Column:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, path, language, content) of every part's file; some lie in folders or have names that scans ignore."""
+    """(k, path, language, content) of every part's file; some lie in folders or have names that scans ignore.
+
+    The keys are spread over tasks before texts are made of them, for a table of millions of parts may be one small file.
+    """
     k = F.col("k")
     s = lambda c: c.cast("string")
     x = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"), F.col("p_name").alias("name"), (F.col("p_partkey") * 7 % 50).alias("o"), (F.col("p_partkey") % 10).alias("b"))
+    x = spread(x, "k")
     folder = F.when(k % 11 == 0, "node_modules/").when(k % 13 == 0, "pkg/dist/").otherwise("src/")
     ending = F.when(k % 3 == 0, ".py").when(k % 19 == 0, ".min.js").otherwise(".ts")
     path = F.concat(folder, F.lit("m"), s(k % 17), F.lit("/p"), s(k), ending)

@@ -57,3 +57,14 @@ def test_near_misses_shuffle_rare_tokens_only(spark):
     got = [tuple(r) for r in found.collect()]
     assert set(got) == want and len(got) == len(want) > 20
     assert "tokens" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_of_one_small_table_are_read_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from plexgraph.sources import extract, scan, synthetic
+
+    spark.createDataFrame([(i, f"n{i}", i % 50) for i in range(200)], "p_partkey long, p_name string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    files = synthetic.files(spark, str(tmp_path))
+    for found in (extract.facts(files), scan.scan(files)):
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
