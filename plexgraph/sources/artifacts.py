@@ -36,9 +36,12 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def normal_edges(edges: DataFrame) -> DataFrame:
-    """Edges with their ids, 16 digits of a hash over ends, kind and place, one row each."""
+    """Edges with their ids, 16 digits of a hash over ends, kind and place, one row each.
+
+    They go to their places by id before equal ones are dropped, so that each is shuffled and sorted once.
+    """
     key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("src", "rel", "tgt", "file", "line")])
-    return edges.withColumn("id", F.substring(F.sha1(key), 1, 16)).dropDuplicates(["id"])
+    return edges.withColumn("id", F.substring(F.sha1(key), 1, 16)).repartition("id").dropDuplicates(["id"])
 
 
 def manifest(files: DataFrame, built: str) -> DataFrame:
@@ -48,8 +51,8 @@ def manifest(files: DataFrame, built: str) -> DataFrame:
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, files: DataFrame | None = None, built: str = "") -> None:
     """Normalised nodes and edges, sorted within their files by id, and the manifest of the sources beside them."""
-    nodes.dropDuplicates(["id"]).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/nodes")
-    normal_edges(edges).repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/edges")
+    nodes.repartitionByRange("id").dropDuplicates(["id"]).sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/nodes")
+    normal_edges(edges).sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/edges")
     if files is not None:
         manifest(files, built).write.mode("overwrite").parquet(f"{path}/manifest")
 

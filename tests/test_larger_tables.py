@@ -68,3 +68,17 @@ def test_files_of_one_small_table_are_read_by_many_tasks(spark, tmp_path):
     files = synthetic.files(spark, str(tmp_path))
     for found in (extract.facts(files), scan.scan(files)):
         assert found.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_a_written_graph_is_shuffled_once(spark, tmp_path):
+    from plexgraph.sources import artifacts
+
+    edges = spark.createDataFrame([(f"a{i % 7}", f"b{i % 5}", "call", "resolved", "f", i % 3) for i in range(300)], "src string, tgt string, rel string, status string, file string, line long")
+    nodes = spark.createDataFrame([(f"a{i % 7}", i % 7) for i in range(20)], "id string, line long")
+    normal = artifacts.normal_edges(edges).sortWithinPartitions("id")
+    assert normal._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    artifacts.write_graph(nodes, edges, str(tmp_path))
+    n, e = artifacts.load_graph(spark, str(tmp_path))
+    assert n.count() == 7 and e.count() == e.select("id").distinct().count() == e.select("src", "tgt", "line").distinct().count() == 105
+    for part in e.rdd.glom().collect():
+        assert [r.id for r in part] == sorted(r.id for r in part)
