@@ -91,3 +91,43 @@ def test_texts_of_one_table_are_split_by_many_tasks(spark):
 
     corpus = build_queries._corpus(spark, "/root/testdata/sf0.001").where("type = 'orders'")
     assert corpus.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_betweenness_needs_no_bound_of_edges(spark, monkeypatch):
+    import random
+
+    from plexgraph.operators import analytics
+
+    draw = random.Random(3)
+    pairs = sorted({tuple(sorted(draw.sample(range(40), 2))) for _ in range(70)}) + [(50, 51), (51, 52)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    dist = {s: {s: 0} for s in near}
+    ways = {s: {s: 1} for s in near}
+    for s in near:
+        level = [s]
+        while level:
+            after = []
+            for v in level:
+                for w in near[v]:
+                    if w not in dist[s]:
+                        dist[s][w], ways[s][w] = dist[s][v] + 1, 0
+                        after.append(w)
+                    if dist[s][w] == dist[s][v] + 1:
+                        ways[s][w] += ways[s][v]
+            level = after
+    want = {v: 0.0 for v in near}
+    for s in near:
+        for t in dist[s]:
+            for v in dist[s]:
+                if len({s, t, v}) == 3 and dist[s][v] + dist[v][t] == dist[s][t]:
+                    want[v] += ways[s][v] * ways[v][t] / ways[s][t] / 2
+    monkeypatch.setattr(analytics, "MOST", 10)
+    monkeypatch.setattr(analytics, "PIECE", 3)
+    for schema, name in (("src long, tgt long", int), ("src string, tgt string", str)):
+        e = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], schema)
+        got = {int(r.id): r.score for r in analytics.betweenness(e).collect()}
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-3 for v in want)
+    assert analytics.betweenness(e.where("false")).count() == 0
