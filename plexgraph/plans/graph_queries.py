@@ -77,9 +77,10 @@ def p13(spark, d):
 
 @query("j01_enriched_callers", f"WITH {N}, {E} SELECT src_type, tgt_type, rel, count(*) AS n FROM (SELECT coalesce(a.type,'unknown') AS src_type, coalesce(b.type,'unknown') AS tgt_type, rel FROM edges LEFT JOIN nodes a ON a.id = src LEFT JOIN nodes b ON b.id = tgt) GROUP BY ALL")
 def j01(spark, d):
-    """Edges by the types of their ends."""
+    """Edges by the types of their ends; those of one type to one element are counted before they travel to it."""
     n = p.nodes(spark, d).select("id", "name", "type")
-    return g.enrich(g.enrich(p.edges(spark, d), n, "src"), n, "tgt").groupBy("src_type", "tgt_type", "rel").agg(F.count("*").alias("n"))
+    to = g.enrich(p.edges(spark, d), n, "src").groupBy("src_type", "tgt", "rel").agg(F.count("*").alias("n"))
+    return g.enrich(to, n, "tgt").groupBy("src_type", "tgt_type", "rel").agg(F.sum("n").alias("n"))
 
 
 @query("j08_semi_anti", "SELECT c_mktsegment, count(*) AS idle FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 300000) GROUP BY 1")

@@ -131,3 +131,8 @@ def test_betweenness_needs_no_bound_of_edges(spark, monkeypatch):
         got = {int(r.id): r.score for r in analytics.betweenness(e).collect()}
         assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-3 for v in want)
     assert analytics.betweenness(e.where("false")).count() == 0
+
+
+def test_edges_are_counted_before_they_travel_to_their_targets(spark):
+    plan = catalog.QUERIES["j01_enriched_callers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and plan.index("Aggregate") < plan.index("Join") < plan.rindex("Aggregate") < plan.rindex("Join")
